@@ -63,7 +63,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id", tex
     u = F.pmod(F.xxhash64("own", F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
     copies = F.floor(share * float(ranges * draws) + u).cast("int")
     drawn = rows.where(copies > 0).select("h", F.explode(F.sequence(F.lit(1), copies)).alias("k"))
-    quantiles = F.expr(f"transform(sequence(1, {ranges - 1}), i -> cast(i as double) / {ranges})")
+    quantiles = F.split(F.lit(",".join(repr(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
     bounds = drawn.agg(F.percentile_approx("h", quantiles, F.lit(10 * ranges)).alias("q")).first()["q"] or []
     at = rows.withColumn("range", range_of(F.col("h"), sorted(set(bounds))))
     held = at.groupBy("range").agg(F.sum(share).alias("share"))
