@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sharding
+from . import decontaminate, language_id, sharding
 from .common import read_table
 
 
@@ -14,5 +14,9 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
+def op8_language_id(spark, sf_dir):
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_language_id": op8_language_id, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {}
