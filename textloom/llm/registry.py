@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, secret_scan, sharding
+from . import decontaminate, language_id, pii, secret_scan, sharding
 from .common import read_table
 
 
@@ -22,5 +22,9 @@ def op9_secret_scan(spark, sf_dir):
     return secret_scan.report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_secret_scan": op9_secret_scan, "op8_language_id": op8_language_id, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
+def op1_pii(spark, sf_dir):
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op9_secret_scan": op9_secret_scan, "op8_language_id": op8_language_id, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {}
