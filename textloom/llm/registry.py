@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, pii, secret_scan, sharding
+from . import decontaminate, language_id, license_scan, pii, secret_scan, sharding
 from .common import read_table
 
 
@@ -26,5 +26,9 @@ def op1_pii(spark, sf_dir):
     return pii.report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op9_secret_scan": op9_secret_scan, "op8_language_id": op8_language_id, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
+def op7_license_scan(spark, sf_dir):
+    return license_scan.report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_license_scan": op7_license_scan, "op1_pii": op1_pii, "op9_secret_scan": op9_secret_scan, "op8_language_id": op8_language_id, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {}
