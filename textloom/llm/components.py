@@ -1,0 +1,32 @@
+"""Connected components of an edge table, by label propagation with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+ROUNDS = 100
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b: long) -> (node, comp), comp being the smallest node that links reach. Nodes without an edge are left out.
+
+    Each round gives every node the smallest label among its neighbours' and its own,
+    then the label of its label, so long chains halve. Labels live in the shared
+    checkpoint folder between rounds. A node with very many edges is a skewed join key,
+    which adaptive execution splits, and its incoming labels are reduced before they are
+    shuffled.
+    """
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    for _ in range(ROUNDS):
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
+        low = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
+        up = labels.select(F.col("node").alias("at"), F.col("comp").alias("top"))
+        new = cut(low.join(up, low["comp"] == up["at"]).select("node", F.least("comp", "top").alias("comp"), "old"))
+        if not new.where("comp <> old").limit(1).count():
+            return new.select("node", "comp")
+        labels = new.select("node", "comp")
+    raise RuntimeError(f"components: not done after {ROUNDS} rounds")
