@@ -150,7 +150,7 @@ def sentences(c: Column, pattern: str = SENTENCE_BREAK) -> Column:
 
 def paragraph_sentences(c: Column) -> Column:
     """Sentences that don't cross line ends."""
-    blocks = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n+"), F.trim), lambda b: b != "")
+    blocks = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n+"), lambda b: F.trim(b)), lambda b: b != "")
     return F.flatten(F.transform(blocks, lambda b: sentences(b)))
 
 
