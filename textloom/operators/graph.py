@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Uses ``spark.checkpoint.dir``; sets a folder only where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; sets one only where none is set."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         path = sc.getConf().get("spark.checkpoint.dir")
         local = sc.master.split("[")[0] == "local"
         sc.setCheckpointDir(path or (tempfile.mkdtemp(prefix="textloom-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder. Unlike ``checkpoint()`` this carries no size estimates along, which would multiply from round to round."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -23,14 +32,13 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     Each round takes the smallest label among the neighbours, then that label's label, so
     chains halve. Labels go through the shared checkpoint folder between rounds.
     """
-    shared_dir(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")).checkpoint()
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")))
     for _ in range(rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
         low = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
         up = labels.select(F.col("node").alias("at"), F.col("comp").alias("top"))
-        labels = low.join(up, low["comp"] == up["at"]).select("node", F.least("comp", "top").alias("comp"), "old").checkpoint()
+        labels = written(low.join(up, low["comp"] == up["at"]).select("node", F.least("comp", "top").alias("comp"), "old"))
         if labels.where("comp <> old").isEmpty():
             return labels.select("node", "comp")
         labels = labels.drop("old")
