@@ -16,13 +16,16 @@ from textloom.llm import decontaminate, language_id, ngram_join, packing, secret
 from textloom.llm.common import checkpoint_dir, read_table
 from textloom.session import ship
 
+#: Near copies share at least NEAR_NUM / NEAR_DEN of their shingles of NEAR_WORDS words.
+NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_identified(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_first(docs).select(docs.columns)
+    return ngram_join.keep_first(docs, n=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on odd tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from textloom.llm import decontaminate, language_id, license_scan, nearest, ngram_join, packing, pii, secret_scan, sharding, token_counts
 
 EXTRA = "id long, body string, key string, row int, n long, node long, keys string, size long, found string, base string, score double"
@@ -209,6 +211,60 @@ def test_keep_first(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.select("doc_id").collect() if r["doc_id"] is not None) == [(False, i) for i in (1, 2, 3, 4, 7, 7, 8, 9, 10)]
 
 
+def plain_components(texts, n, num, den):
+    """id -> smallest id of its group, by brute force."""
+    sets, root = {}, {i: i for i in texts}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({x: x + 32 for x in range(65, 91)}))
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        both = len(sets[a] & sets[b])
+        if both and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    return {i: find(i) for i in texts}
+
+
+@pytest.mark.parametrize("n, num, den", [(5, 80, 100), (1, 1, 2)])
+def test_join_other_shingles(spark, n, num, den):
+    texts = near_copies(3)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.classes(docs, n=n, num=num, den=den).collect()} == plain_components(texts, n, num, den)
+
+
+def edited(words, edits, seed):
+    """Scattered edits: no two in one shingle of five words."""
+    out = list(words)
+    for k, at in enumerate(range(8, len(words) - 8, (len(words) - 16) // edits)):
+        if k < edits:
+            out[at] = f"edit{seed}x{k}"
+    return out
+
+
+def test_pipeline_is_the_plain_stages(spark, data, tmp_path):
+    """All stages of the pipeline; near copies that three words and 0.9 would keep must go."""
+    own = spark.read.parquet(f"{data}/documents.parquet")
+    long = [(r["doc_id"], r["text"].split(), r["lang"]) for r in own.collect() if r["text"] and len(r["text"].split()) >= 150][:12]
+    copies = spark.createDataFrame([(10**6 + k, " ".join(edited(w, len(w) // 50, k)), x) for k, (_, w, x) in enumerate(long)], "doc_id long, text string, lang string")
+    own.unionByName(copies, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {r["doc_id"] for r in language_id.identify(docs).collect() if r["lang_pred"] != "und"}
+    left = {i: texts[i] for i in known}
+    near, narrow = plain_components(left, 5, 80, 100), plain_components(left, 3, 90, 100)
+    assert any(near[i] != i and narrow[i] == i for i in left)
+    left = {i: t for i, t in left.items() if near[i] == i}
+    hits = plain_hits(left, [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()])
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {i for i in left if not hits[i][4]}
+
+
 # --- packing and tokens ---
 
 ALIKE = ["ab", " ", "  ", "\n", "\n\n", "é", "É", "²", ".", ",", "'s", "'S", "'", "1", "23", "\t", " ", "ß", "İ", "Σ", "é", "<|endoftext|>", "日本", "!", "\r\n", "_", "x²y", "​", "😀", "don't", "\x1c", "\x85", "ﬁ"]
