@@ -411,6 +411,54 @@ def test_license_rules(spark):
     assert got == want and "agpl-3.0" in got[8]
 
 
+def sample(tokens, r):
+    """A random text that the parsed expression matches; runs of white space are of all kinds and lengths."""
+    out = ""
+    for op, arg in tokens:
+        op = str(op)
+        if op == "LITERAL":
+            out += r.choice([str.lower, str.upper])(chr(arg))
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(sample(arg[2], r) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 2))))
+        elif op == "SUBPATTERN":
+            out += sample(arg[3], r)
+        elif op == "BRANCH":
+            out += sample(r.choice(arg[1]), r)
+        elif op == "ANY":
+            out += "z"
+        elif op == "IN":
+            what, value = r.choice(arg)
+            pick = {"CATEGORY": lambda v: r.choice(" \n\t\r"), "LITERAL": chr, "RANGE": lambda v: chr(r.randint(*v))}
+            out += pick[str(what)](value)
+        else:
+            assert op in ("AT", "ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_license_rules_pass_gate_and_key():
+    """What a rule matches holds its keyword and a gate word, once white space and hyphens are folded."""
+    r = random.Random(6)
+    fold = lambda t: re.sub(r"[ \t\n\x0b\f\r+-]+", " ", t.lower())
+    for rule in license_scan.rules():
+        spdx = rule["re"].startswith("(?i)(?<=spdx")
+        parsed = None if spdx else re._parser.parse(rule["re"])
+        for _ in range(40):
+            text = "SPDX-License-Identifier: " + rule["re"].split("(:])")[1].split("(?!")[0].replace("\\", "") if spdx else sample(parsed, r)
+            if not spdx and not re.search(rule["re"], text):
+                continue  # what must not stand there
+            assert rule["key"] in fold(text) and re.search(license_scan.GATE, fold(text)), (rule, text)
+
+
+def test_license_wrapped_and_hyphened(spark):
+    cases = [
+        ("licensed under CC-BY-SA-4.0", "cc-by-sa-4.0"), ("licensed under CC-BY-4.0", "cc-by-4.0"), ("see creativecommons.org/publicdomain/zero/1.0/", "cc0-1.0"), ("released to you under the MIT", "mit"),
+        ("Redistribution and\nuse in source and\n  binary forms, with or without modification, are permitted", "bsd-2-clause"), ("It is in the public\ndomain", "public-domain"),
+        ("under the GNU General\nPublic License v3 license", "gpl,gpl-3.0"), ("provided\tunder the PSF", "python-2.0"), ("Licensed  under ODbL", "odbl-1.0"), ("a public-domain work", ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan.report(docs).collect()} == {i: x for i, (_, x) in enumerate(cases)}
+
+
 # --- languages ---
 
 

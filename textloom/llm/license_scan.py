@@ -1,10 +1,12 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
-A rule has a label, a plain keyword, a regular expression, a priority (0 is strongest)
-and a confidence. Hand-written names of licenses, ``NAMES``, times the hand-written
-forms in which texts cite them, ``FORMS``, and the notices of ``NOTICES`` make some
-hundreds of rules. A text that holds none of the words in ``GATE`` is passed by; of the
-others, only rules whose keyword occurs are tried, and all their matches are found.
+A rule has a label, a plain keyword, gate words, a regular expression, a priority (0 is
+strongest) and a confidence. Hand-written names of licenses, ``NAMES``, times the
+hand-written forms in which texts cite them, ``FORMS``, and the notices of ``NOTICES``
+make some hundreds of rules. Keywords and gate words are looked for in the folded text:
+lower-cased, with runs of white space, hyphens and plus signs turned into one blank. A
+text without any rule's gate word is passed by; of the others, only rules whose keyword
+occurs are tried, on the text as it is, and all their matches are found.
 
 Overlaps: in the order of starts, longer first, then stronger, a detection goes if one
 before it of the same or a stronger priority covers its whole interval. The base rules
@@ -63,13 +65,16 @@ NAMES = [
     ("zlib", "zlib", r"zlib(?:/libpng)?", "Zlib"),
     ("bsl-1.0", "boost", r"boost software licen[sc]e", "BSL-1.0"),
     ("unlicense", "unlicense", r"unlicense", "Unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the f[a-z*]+ you want to public licen[sc]e", "WTFPL"),
-    ("python-2.0", "python", r"python software foundation|psf", "Python-2.0"),
+    ("wtfpl", "wtfpl", r"wtfpl", "WTFPL"),
+    ("wtfpl", "you want to public", r"do what the f[a-z*]+ you want to public licen[sc]e", ""),
+    ("python-2.0", "python", r"python software foundation", "Python-2.0"),
+    ("python-2.0", "psf", r"psf", ""),
     ("postgresql", "postgresql", r"postgresql", "PostgreSQL"),
     ("openssl", "openssl", r"openssl", "OpenSSL"),
     ("php-3.01", "php", r"php,? ?(?:version |v)?3\.01", "PHP-3.01"),
     ("ofl-1.1", "open font", r"sil open font licen[sc]e", "OFL-1.1"),
-    ("odbl-1.0", "database", r"open (?:data commons open )?database licen[sc]e|odbl", "ODbL-1.0"),
+    ("odbl-1.0", "database", r"open (?:data commons open )?database licen[sc]e", "ODbL-1.0"),
+    ("odbl-1.0", "odbl", r"odbl", ""),
     ("ms-pl", "microsoft public", r"microsoft public licen[sc]e", "MS-PL"),
     ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[sc]e", "MS-RL"),
     ("cecill-2.1", "cecill", r"cecill", "CECILL-2.1"),
@@ -104,7 +109,7 @@ NOTICES = [
     ("bsd-2-clause", "redistribution and use", r"redistribution and use in source and binary forms, with or without modification, are permitted", 2, 0.8),
     ("bsd-3-clause", "endorse or promote", r"neither the names? of .{1,120}? may be used to endorse or promote products derived from this software", 1, 0.95),
     ("apache-2.0", "apache.org/licenses", r"apache\.org/licenses/license-2\.0", 1, 1.0),
-    ("apache-2.0", "as is", r"distributed on an \"as is\" basis, without warranties or conditions of any kind", 1, 0.9),
+    ("apache-2.0", "warranties or conditions", r"distributed on an \"as is\" basis, without warranties or conditions of any kind", 1, 0.9),
     ("gpl-2.0", "either version 2", r"either version 2 of the license, or \(at your option\) any later version", 1, 0.95),
     ("gpl-3.0", "either version 3", r"either version 3 of the license, or \(at your option\) any later version", 1, 0.95),
     ("gpl", "gnu.org/licenses", r"gnu\.org/licenses/(?:old-licenses/)?gpl", 1, 0.9),
@@ -122,23 +127,40 @@ NOTICES = [
     ("proprietary", "all rights reserved", r"(?:proprietary and confidential|unauthorized copying).{0,200}?all rights reserved|all rights reserved.{0,200}?(?:proprietary and confidential|unauthorized copying)", 2, 0.7),
 ]
 
-#: A text without any of these has no detection: each rule needs one of them.
-GATE = r"(?i)licen[sc]e|spdx|permission is hereby|permission to use, copy|without restriction, including|redistribution and use|endorse or promote|without warranties or conditions|public domain|altered source|mozilla\.org/mpl|all rights reserved|released under|published under|distributed under|available under|provided under"
+_LICENSE = ["license", "licence"]
+#: Gate words of each form: a match holds at least one of them.
+FORM_GATES = {
+    "under": _LICENSE + [f"{verb}{to}under" for verb in ("released", "distributed", "published", "available", "provided") for to in (" ", " to you ")],
+    "terms": _LICENSE, "field": _LICENSE, "name": _LICENSE, "see": _LICENSE,
+}
+_FOLDED = r"[\s+-]{2,}|[\t\n\x0B\f\r+-]"
+
+
+def fold(text: Column) -> Column:
+    """Lower-cased, with runs of what stands between words in the rules (white space, ``-``, ``+``) turned into one blank."""
+    return F.regexp_replace(F.lower(text), _FOLDED, " ")
+
+
+def _key(word: str) -> str:
+    return re.sub(_FOLDED, " ", word.lower())
 
 
 def rules() -> list[dict]:
     """All rules in their order."""
     gap = f"[{_NO}]+"
-    out = [{"label": label, "key": phrase.split()[0], "re": f"(?i){_START}{gap.join(phrase.split())}{_END}", "rank": 0, "conf": 0.9} for label, phrase in BASE]
+    out = [{"label": label, "key": phrase.split()[0], "gate": ["license"], "re": f"(?i){_START}{gap.join(phrase.split())}{_END}", "rank": 0, "conf": 0.9} for label, phrase in BASE]
     for label, key, name, spdx in NAMES:
-        for _, form, rank, conf in FORMS:
-            out.append({"label": label, "key": key, "re": r"(?i)\b" + form.replace("{name}", name).replace(" ", r"\s+").replace(r"\s+?", r"\s*"), "rank": rank, "conf": conf})
+        for kind, form, rank, conf in FORMS:
+            out.append({"label": label, "key": key, "gate": FORM_GATES[kind], "re": r"(?i)\b" + form.replace("{name}", name).replace(" ", r"\s+").replace(r"\s+?", r"\s*"), "rank": rank, "conf": conf})
         if spdx:
-            out.append({"label": label, "key": spdx.lower(), "re": rf"(?i)(?<=spdx-license-identifier[^\n]{{0,80}}[\s(:]){re.escape(spdx)}(?![\w.-])", "rank": 1, "conf": 1.0})
-    out += [{"label": label, "key": key, "re": "(?is)" + expression.replace(" ", r"\s+"), "rank": rank, "conf": conf} for label, key, expression, rank, conf in NOTICES]
+            out.append({"label": label, "key": _key(spdx), "gate": ["spdx license identifier"], "re": rf"(?i)(?<=spdx-license-identifier[^\n]{{0,80}}[\s(:]){re.escape(spdx)}(?![\w.-])", "rank": 1, "conf": 1.0})
+    out += [{"label": label, "key": key, "gate": [key], "re": "(?is)" + expression.replace(" ", r"\s+"), "rank": rank, "conf": conf} for label, key, expression, rank, conf in NOTICES]
     return [{"id": i} | r for i, r in enumerate(out)]
 
 
+#: What a folded text with a detection holds: some rule's gate word.
+GATE = "|".join(re.escape(g) for g in sorted({g for r in rules() for g in r["gate"]}))
+
 _RULE = "array<struct<id:int,label:string,key:string,re:string,rank:int,conf:double>>"
 _HIT = "array<struct<s:int,e:int,rank:int,id:int,label:string,conf:double>>"
 
@@ -180,19 +202,19 @@ def _suppressed(found: Column, ranks: int) -> Column:
 
 def detections(text: Column) -> Column:
     """The detections in a text, an array of (s, e, rank, id, label, conf) in the order of starts; empty without a gate word."""
-    table = rules()
+    table = [{k: v for k, v in r.items() if k != "gate"} for r in rules()]
     keys = sorted({r["key"] for r in table})
     all_rules = F.from_json(F.lit(json.dumps(table)), _RULE)
     key_list = F.split(F.lit("\n".join(keys)), "\n")
     ranks = 1 + max(r["rank"] for r in table)
 
     def scan(bound):
-        low = F.lower(bound["t"])
-        held = _let(low, lambda l: F.filter(key_list, lambda k: F.contains(l, k)))
+        held = F.filter(key_list, lambda k: F.contains(bound["low"], k))
         tried = _let(held, lambda h: F.filter(all_rules, lambda r: F.array_contains(h, r["key"])))
-        return _suppressed(F.flatten(F.transform(tried, lambda r: _matches(bound["t"], r))), ranks)
+        found = _suppressed(F.flatten(F.transform(tried, lambda r: _matches(bound["t"], r))), ranks)
+        return F.when(bound["low"].rlike(GATE), found).otherwise(F.array().cast(_HIT))
 
-    return F.when(text.rlike(GATE), _let(F.struct(text.alias("t")), scan)).otherwise(F.array().cast(_HIT))
+    return _let(F.struct(text.alias("t"), fold(text).alias("low")), scan)
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
