@@ -211,6 +211,32 @@ def test_keep_first(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.select("doc_id").collect() if r["doc_id"] is not None) == [(False, i) for i in (1, 2, 3, 4, 7, 7, 8, 9, 10)]
 
 
+def plain_links(texts):
+    sets, out = {}, dict.fromkeys(texts, 0)
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+    for a, b in itertools.combinations(texts, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+            out[a], out[b] = out[a] + 1, out[b] + 1
+    return out
+
+
+@pytest.mark.parametrize("block", [768, 3])
+def test_join_counts_all_links(spark, monkeypatch, block):
+    """Numbers of links by brute force, with whole components and with many blocks."""
+    monkeypatch.setattr(ngram_join, "COUNT_BLOCK", block)
+    r, base = random.Random(7), [f"w{i}" for i in range(120)]
+    texts = near_copies(4, 150) | {10**6: "", 10**6 + 1: ""}
+    for i in range(60):  # one group, most of whose rows link, with exact copies
+        copy = list(base[: 100 + i % 20])
+        copy[r.randrange(100)] = f"x{i % 45}"
+        texts[2 * 10**6 + i] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x["doc_id"]: x["n_links"] for x in ngram_join.classes(docs).collect()} == plain_links(texts)
+
+
 def plain_components(texts, n, num, den):
     """id -> smallest id of its group, by brute force."""
     sets, root = {}, {i: i for i in texts}
