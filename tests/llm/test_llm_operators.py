@@ -187,9 +187,9 @@ def test_join_keys_meet_all_links():
         other = np.unique(np.concatenate((rng.permutation(base)[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64))))
         same = len(np.intersect1d(base, other))
         link = 100 * same >= 90 * (len(base) + len(other) - same)
-        assert bool(ngram_join.overlaps([base], [other])[0]) == link
+        assert bool(ngram_join.linked([base], [other])[0, 0]) == link
         if link and not np.array_equal(base, other):
-            assert len(np.intersect1d(ngram_join.keys(base), ngram_join.keys(other)))
+            assert len(np.intersect1d(ngram_join.keys(base)[0], ngram_join.keys(other)[0]))
 
 
 def test_join_hot_group_makes_few_products(spark):
@@ -226,7 +226,8 @@ def plain_links(texts):
 @pytest.mark.parametrize("block", [768, 3])
 def test_join_counts_all_links(spark, monkeypatch, block):
     """Numbers of links by brute force, with whole components and with many blocks."""
-    monkeypatch.setattr(ngram_join, "COUNT_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "LEAST_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "MOST_BLOCK", block)
     r, base = random.Random(7), [f"w{i}" for i in range(120)]
     texts = near_copies(4, 150) | {10**6: "", 10**6 + 1: ""}
     for i in range(60):  # one group, most of whose rows link, with exact copies

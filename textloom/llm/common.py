@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.operators.graph import shared_dir as checkpoint_dir  # noqa: F401
+from textloom.operators.graph import written as cut  # noqa: F401
+
 #: Bytes of one text that are split into words at a time.
 CHUNK_BYTES = 4 << 20
 
@@ -17,30 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where it is unset, a local one in local mode and one below the warehouse on a cluster."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get()
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path is None:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        path = tempfile.mkdtemp(prefix="textloom-ckpt-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there: later jobs neither repeat its work nor depend on the executors that did it.
-
-    A written table, not ``checkpoint()``: that carries size estimates along, and over the
-    rounds of an iteration their product grows to numbers of millions of digits.
-    """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def byte_table(keep) -> bytes:
     """A table for ``bytes.translate``: A-Z lower-cased, bytes for which ``keep`` is false turned into blanks. UTF-8 continuation and lead bytes go through ``keep`` like the rest."""
     out = bytearray(256)
