@@ -123,7 +123,7 @@ def test_pages(spark):
     bad = "<html><body><div class='cookie-banner'><p>We use cookies to improve your experience on this site.</p></div></body></html>"
     df = spark.createDataFrame([(1, good), (2, bad), (3, None)], "page_id int, html string")
     got = {r["page_id"]: r for r in pages.extract(df).collect()}
-    assert got[1]["ok"] and got[1]["title"] == "Head" and "newsletter" not in got[1]["text"] and got[1]["lead_text"].startswith("The council")
+    assert got[1]["ok"] and got[1]["title"] == "Head" and "newsletter" not in got[1]["text"] and got[1]["lead_text"].startswith("Head. The council")
     assert not got[2]["ok"] and got[2]["reason"] == "insufficient_prose" and not got[3]["ok"]
     d = pages.parse("<script type='application/ld+json'>{\"@graph\": [{\"datePublished\": \"2024-01-02\"}]}</script><link rel='canonical' href='https://x.org/a'><title>a</title>b")
     assert d["dates"] == ["2024-01-02"] and d["canonical"] == "https://x.org/a" and d["text"] == "a b"

@@ -74,7 +74,7 @@ def _(spark, sf):
 @query("f13_rejected_blocks")
 def _(spark, sf):
     page = table(spark, sf, "pages").select("page_id", pages.html_blocks(F.col("html"))["blocks"].alias("b"))
-    return page.select("page_id", F.explode("b").alias("b")).groupBy("page_id").agg(F.count("*").alias("blocks"), F.count_if("b.rejected").alias("rejected"))
+    return page.select("page_id", F.explode("b").alias("b")).groupBy("page_id").agg(F.count("*").alias("blocks"), F.count("b.reason").alias("rejected"))
 
 
 @query("f17_web_candidates", f"SELECT page_id, {_Q_BUILT} AS url, 'empirical_research' AS source_type FROM {_q_url([], True)} WHERE scheme = 'https' AND host <> '' AND NOT contains(u.auth, '@') AND (regexp_replace(host, '^www\\.', '') = 'example.com' OR ends_with(host, '.example.com'))")
@@ -141,7 +141,7 @@ def _(spark, sf):
 @query("h01_container_scores")
 def _(spark, sf):
     page = table(spark, sf, "pages").select("page_id", pages.html_blocks(F.col("html")).alias("p"))
-    scored = F.transform("p.boxes", lambda b: F.struct(b["box"].alias("box"), b["tag"].alias("tag"), b["length"].alias("length"), pages.container_score(b, F.col("p.blocks")).alias("score")))
+    scored = F.transform("p.boxes", lambda b: F.struct(b["box"].alias("box"), b["tag"].alias("tag"), b["length"].alias("length"), pages.container_score(b).alias("score")))
     return page.select("page_id", F.inline(scored))
 
 
