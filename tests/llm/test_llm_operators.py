@@ -321,6 +321,29 @@ def test_counts_are_the_tokenizer(texts, monkeypatch):
         assert own.count(t) == len(whole.encode(t, add_special_tokens=False).ids)
 
 
+SCRIPTS = ["한국어 문장 그리고 단어 123", "مرحبا بالعالم، هذا نص", "ภาษาไทยไม่มีช่องว่าง", "हिन्दी में एक वाक्य", "שלום עולם", "ΟΔΥΣΣΕΥΣ Σ ς", "e\u0301 E\u0301 İstanbul I\u0307", "😀👩‍👩‍👧 emoji😀text", "a<|endoftext|>b <|startoftext|> <|no|>", "a\u00a0b\u3000c\u2028d\x85e\x1cf\x0bg", "x" * 3000, ""]
+
+
+@pytest.mark.parametrize("common", [300_000, 40, 0])
+def test_token_report(spark, texts, monkeypatch, common):
+    """The whole query, with all pre-tokens broadcast, some, and none: bytes, tokens and limit of every script, of repeated rows and ids, and of nulls."""
+    monkeypatch.setattr(token_counts, "COMMON", common)
+    whole = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
+    own = [*SCRIPTS, "".join(SCRIPTS), " ".join(SCRIPTS * 40), *list(texts.values())[:60], *odd_texts(5, 200)]
+    rows = [(i // 2, t) for i, t in enumerate(own)] + [(None, "one two"), (None, None), (3, own[6])]
+    got = token_counts.report(spark.createDataFrame(rows, "doc_id long, text string").withColumn("rare", F.lit("x"))).collect()
+    want = [(i, len((t or "").encode()), len(whole.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted([(r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got], key=key) == sorted([(*w, w[2] > 2048) for w in want], key=key)
+    assert any(w[2] > 2048 for w in want)
+
+
+def test_pretokens_are_counted_once(spark):
+    docs = spark.createDataFrame([("A b'll b x1",), ("a B. ..",), (None,), ("한국 a",)], "text string").repartition(3)
+    rows = {r["pretoken"]: (r["seen"], r["pieces"]) for r in token_counts.pretoken_table(docs).collect()}
+    assert set(rows) == {"a", "b", "'ll", "x", "1", ".", "..", "한국"} and rows["a"][0] == 3 and rows["b"][1] == 1
+
+
 def test_packed_sequences(docs, texts):
     whole = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     rows = packing.packed(docs).collect()
