@@ -40,14 +40,40 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(61)) and got[101] == 100
 
 
-def test_allocation_balances_and_fills(spark):
-    units = [(f"u{i}", 1 + i % 3, {"b:1": i % 2, "b:0": 1}) for i in range(40)]
-    fractions = {"train": 0.5, "development": 0.15, "calibration": 0.15, "locked_test": 0.2}
-    got = dataprep.allocate(units, fractions, 23)
-    assert got == dataprep.allocate(list(reversed(units)), fractions, 23) and set(got.values()) == set(dataprep.PARTITIONS)
-    assert set(dataprep.allocate(units[:4], fractions, 1).values()) == set(dataprep.PARTITIONS)
+def test_units_are_placed_in_balance():
+    units = [(f"u{i}", 1 + i % 3, {"b:1": i % 2, "b:0": 1}) for i in range(400)]
+    shares = dict(zip(dataprep.PARTITIONS, (0.5, 0.15, 0.15, 0.2), strict=True))
+    total, labels = sum(n for _, n, _ in units), {"b:1": 200, "b:0": 400}
+    want = {p: {k: n * f for k, n in labels.items()} for p, f in shares.items()}
+    place = lambda us: dataprep.place_units(us, {p: total * f for p, f in shares.items()}, want, 23)
+    got = place(units)
+    assert got == place(list(reversed(units))) and set(place(units[:4]).values()) == set(dataprep.PARTITIONS)
+    for p, f in shares.items():
+        own = [u for u in units if got[u[0]] == p]
+        assert abs(sum(n for _, n, _ in own) / total - f) < 0.01 and abs(sum(c["b:1"] for _, _, c in own) / 200 - f) < 0.04
+
+
+def test_split_of_small_and_large_units(spark, monkeypatch):
+    """Large units one by one, the others by hash; every key stays in one partition."""
+    monkeypatch.setattr(dataprep, "SINGLE", 20)
+    rows_ = spark.createDataFrame([(i, f"k{0 if i < 300 else i % 700}", i % 2) for i in range(2000)], "id long, key string, label int")
+    shares = {"train": 0.5, "development": 0.2, "calibration": 0.1, "locked_test": 0.2}
+    got = dataprep.split_manifest(rows_, "id", ["key"], ["label"], shares, 7)
+    joined = rows_.join(got, "id").toPandas()
+    assert len(joined) == 2000 and joined.groupby("key").partition.nunique().max() == 1
+    for p, f in shares.items():
+        assert abs((joined.partition == p).mean() - f) < 0.05
     with pytest.raises(ValueError):
-        dataprep.allocate(units[:3], fractions, 1)
+        dataprep.split_manifest(rows_.limit(3), "id", ["key"], ["label"], shares, 7)
+
+
+def test_annotations_merge_without_pairs(spark):
+    r = "record_id string, dataset string, text_hash string, canonical_url string, source_record_ids array<string>, source_datasets array<string>"
+    left = spark.createDataFrame([("l1", "A", "h", "u1", ["l1"], ["A"]), ("l2", "A", "h", "u2", ["l2"], ["A"]), ("l3", "A", "g", None, ["l3"], ["A"])], r)
+    right = spark.createDataFrame([("r1", "B", "h", "u1", [], []), ("r2", "B", "h", None, [], []), ("r3", "B", "g", None, [], []), ("r4", "B", "g", "u9", [], []), ("r5", "B", None, None, [], [])], r)
+    merged, matched = dataprep.merge_annotations(left, right)
+    assert rows(merged, "record_id", "source_record_ids") == [("l1", ["l1", "r1"]), ("l2", ["l2"]), ("l3", ["l3", "r3"])]
+    assert rows(matched, "right_id", "matched") == [("r1", True), ("r2", False), ("r3", True), ("r4", False), ("r5", False)]
 
 
 def test_metrics_by_hand(spark):
@@ -68,18 +94,39 @@ def test_auc_with_ties_is_the_pairwise_share(spark):
 
 
 @pytest.mark.parametrize("data,upper,target,least,want", [
-    ([(0.05, 0)] * 30 + [(0.90, 1)] * 10, False, 0.85, 30, (True, 0.05, 30, None)), ([(0.9, 1)] * 20, True, 0.5, 30, (False, 0.9, 20, "minimum_predicted_support_not_met")),
-    ([(0.99, 1)] * 30 + [(0.80, 1)] * 30 + [(0.10, 0)] * 10, True, 0.85, 30, (True, 0.80, 60, None)), ([(0.9, 1)] * 2, True, 0.9, 1, (False, 0.9, 2, "target_wilson_lcb_not_met")),
+    ([(0.05, 0)] * 30 + [(0.90, 1)] * 10, False, 0.85, 30, (True, 0.05, 30, None)), ([(0.9, 1)] * 20, True, 0.5, 30, (False, None, 20, "minimum_predicted_support_not_met")),
+    ([(0.99, 1)] * 30 + [(0.80, 1)] * 30 + [(0.10, 0)] * 10, True, 0.85, 30, (True, 0.80, 60, None)), ([(0.9, 1)] * 2, True, 0.9, 1, (False, None, 2, "target_wilson_lcb_not_met")),
+    ([(0.1, 0)] * 40 + [(0.7, 1)] * 40, False, 0.9, 30, (True, 0.1, 40, None)), ([(0.1, 1)] * 40, False, 0.9, 30, (False, None, 40, "no_negative_reference_examples")), ([(0.1, 0)] * 40, True, 0.9, 30, (False, None, 40, "no_positive_reference_examples")),
+    ([], True, 0.9, 30, (False, None, 0, "no_supervised_calibration_examples")),
 ])
 def test_confident_region(spark, data, upper, target, least, want):
-    r = metrics.confident_region(spark.createDataFrame(data, "p double, truth int"), upper=upper, target=target, min_support=least).first()
-    assert (r["enabled"], round(r["threshold"], 9), r["support"], r["reason"]) == want
+    rows = spark.createDataFrame(data, "p double, truth int")
+    r = metrics.confident_region(rows, upper=upper, target=target, min_support=least).first()
+    assert (r["enabled"], r["threshold"], r["support"], r["reason"]) == want
+    if r["enabled"]:  # the threshold takes in the very rows that it was chosen for
+        assert rows.where(F.col("p") >= r["threshold"] if upper else F.col("p") <= r["threshold"]).count() == r["support"]
 
 
-def test_bootstrap_is_seeded(spark):
+def test_bootstrap_is_seeded_and_knows_its_labels(spark):
     df = spark.createDataFrame([(f"g{i % 7}", i % 2, (i // 2) % 2) for i in range(60)], "g string, truth int, pred int")
-    a = metrics.bootstrap_lower(df, "g", resamples=200)
-    assert a == metrics.bootstrap_lower(df, "g", resamples=200) and 0 <= a <= 1
+    a = metrics.bootstrap_lower(df, "g", [0, 1], resamples=200)
+    assert a == metrics.bootstrap_lower(df, "g", [0, 1], resamples=200) and 0 <= a <= 1
+    one = spark.createDataFrame([("g", 0, 0)] * 5, "g string, truth int, pred int")  # an absent class counts as 0
+    assert metrics.bootstrap_lower(one, "g", [0, 1], resamples=20) == 0.5 and metrics.macro_f1([{(0, 0): 5}], [0, 1]) == 0.5
+    table = metrics.bootstrap_table(df, "g", [0, 1], resamples=200)
+    values = sorted(r["macro_f1"] for r in table.collect())
+    assert len(values) == 200 and metrics.bootstrap_bound(table, 200).first()[0] == values[10] and abs(values[10] - a) < 0.2
+
+
+def test_release_gates(spark):
+    bias = spark.createDataFrame([(1, True)] * 60 + [(0, False)] * 60, "truth int, selected boolean")
+    style = spark.createDataFrame([(f"g{i}", i % 2, i % 2) for i in range(80)], "g string, truth int, pred int")
+    r = metrics.binary_gates(bias, style, "g", resamples=64).first()
+    assert r["failures"] == [] and r["promotion_state"] == "eligible"
+    few = metrics.binary_gates(bias.limit(0), style.where("truth = 0"), "g", resamples=64).first()
+    assert few["failures"] == ["insufficient_clear_bias_selected_support", "insufficient_opinionated_style_support", "clear_bias_precision_lcb_below_target", "opinion_style_macro_f1_bootstrap_lcb_below_target", "opinionated_style_recall_lcb_below_target"]
+    three = metrics.three_class_gates(bias, style, "g", resamples=64).first()
+    assert three["failures"] == ["insufficient_locked_test_bias_positive_support", "insufficient_locked_test_middle_support", "article_report_precision_gate_not_evaluable"] or "opinion_macro_f1_lcb_below_target" in three["failures"]
 
 
 def test_fusion_in_two_stages(spark):
@@ -104,10 +151,17 @@ def test_upsert(spark):
     assert rows(again, "point_id") == [("3",), ("4",), ("6",)]
 
 
-def test_nearest(spark):
+def test_nearest(spark, monkeypatch):
     q = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, query_vector array<double>")
     v = spark.createDataFrame([("a", [0.5, 1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [2.0, 0.0, 0.0])], "id string, vector array<double>")
     assert [r["id"] for r in corpus.nearest(q, v, 2).orderBy("rank").collect()] == ["b", "c"]
+    many = spark.createDataFrame([(f"q{i}", [float(i % 5), 1.0]) for i in range(40)], "query_id string, query_vector array<double>")
+    own = spark.createDataFrame([(i, [float(i % 7), 1.0 if i else 0.0]) for i in range(300)], "id long, vector array<double>").repartition(3)
+    want = {f"q{i}": sorted((round(-sum(a * b for a, b in zip(x, [i % 5, 1])) / (sum(a * a for a in x) ** 0.5 or 1) / ((i % 5) ** 2 + 1) ** 0.5, 9), n) for n, x in enumerate([[n % 7, 1 if n else 0] for n in range(300)]))[:4] for i in range(40)}
+    monkeypatch.setattr(corpus, "QUERY_BYTES", 200)
+    got = corpus.nearest(many, own, 4).collect()
+    assert {k: [n for _, n in v] for k, v in want.items()} == {k: [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == k] for k in want}
+    assert corpus.nearest(many, own.limit(0), 4).count() == 0 == corpus.nearest(many.limit(0), own, 4).count()
 
 
 def test_assessment_needs_an_allowed_citation(spark):

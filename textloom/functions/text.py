@@ -52,14 +52,19 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def normalize_text(c: Column) -> Column:
-    """NFKC, white space collapsed, trimmed; null becomes empty."""
-    return collapse(nfkc(F.coalesce(c, F.lit(""))))
+def _beyond_ascii(c: Column) -> Column:
+    """``c`` where it holds more than ASCII, else null: what has to be sent to Python."""
+    return F.when(c.rlike("[^\\x00-\\x7F]"), c)
 
 
-def casefold(c: Column) -> Column:
-    """Lower case with the sharp s folded, as far as Catalyst goes; ``casefold_exact`` is complete."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+def nfkc_plain(c: Column) -> Column:
+    """``nfkc``; ASCII text stays in the JVM."""
+    return F.coalesce(nfkc(_beyond_ascii(c)), c)
+
+
+def normalize_text(c: Column) -> Column:
+    """NFKC, white space collapsed, trimmed; null becomes empty."""
+    return collapse(nfkc_plain(F.coalesce(c, F.lit(""))))
 
 
 @F.pandas_udf(StringType())
@@ -67,9 +72,14 @@ def casefold_exact(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.casefold())
 
 
+def casefold(c: Column) -> Column:
+    """Full case folding; ASCII text stays in the JVM."""
+    return F.coalesce(casefold_exact(_beyond_ascii(c)), F.lower(c))
+
+
 def text_hash(c: Column) -> Column:
     """Identity of annotated text: sha256 of the normal form, folded."""
-    return F.sha2(casefold(collapse(F.coalesce(c, F.lit("")))), 256)
+    return F.sha2(casefold(normalize_text(c)), 256)
 
 
 def content_hash(c: Column) -> Column:
@@ -93,7 +103,7 @@ def _lookup(c: Column, table: dict) -> Column:
 
 
 def bias_label(c: Column) -> Column:
-    label = collapse(F.coalesce(c, F.lit("")))
+    label = normalize_text(c)
     return F.coalesce(_lookup(casefold(label), BIAS_ALIASES), label)
 
 
@@ -102,7 +112,7 @@ def bias_id(label: Column) -> Column:
 
 
 def opinion_label(c: Column) -> Column:
-    label = F.translate(collapse(F.coalesce(c, F.lit(""))), CURLY_APOSTROPHES, "'" * len(CURLY_APOSTROPHES))
+    label = F.translate(normalize_text(c), CURLY_APOSTROPHES, "'" * len(CURLY_APOSTROPHES))
     return F.coalesce(_lookup(casefold(label), {x.casefold(): x for x in OPINION_TIERS}), label)
 
 
@@ -130,7 +140,7 @@ def source_dataset(file: Column) -> Column:
 
 def classifier_input(c: Column) -> Column:
     """The marked input; an empty text is an error."""
-    text = collapse(F.coalesce(c, F.lit("")))
+    text = normalize_text(c)
     return F.when(text == "", F.raise_error(F.lit("classifier target text must not be empty"))).otherwise(F.concat(F.lit("[TARGET]\n"), text))
 
 
@@ -168,13 +178,24 @@ def is_prose(c: Column) -> Column:
     return ((words >= 12) & (F.char_length(c) >= 80)) | ((words >= 6) & ends & F.substring(c, F.lit(2), F.char_length(c)).rlike(r"\p{Ll}"))
 
 
+def _let(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once: inlined into a lambda, it would be computed again for each element."""
+    return F.transform(F.array(value), of)[0]
+
+
 def compact_query(c: Column, terms: int = 14) -> Column:
     """The first distinct significant words, stop words left out."""
     words = F.regexp_extract_all(F.replace(c, F.lit(MOJIBAKE_APOSTROPHE), F.lit("'")), F.lit(SIGNIFICANT_WORD), F.lit(0))
     stop = F.array(*map(F.lit, STOP_WORDS))
-    words = F.filter(words, lambda w: ~F.array_contains(stop, F.lower(w)))
-    once = F.filter(words, lambda w, i: F.array_position(F.transform(words, F.lower), F.lower(w)) == i + 1)
-    return F.array_join(F.slice(once, 1, terms), " ")
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("seen"), none.alias("kept"))
+
+    def step(state, word):
+        low = F.lower(word)
+        skip = (F.size(state["kept"]) >= terms) | F.array_contains(state["seen"], low) | F.array_contains(stop, low)
+        return F.when(skip, state).otherwise(F.struct(F.array_append(state["seen"], low).alias("seen"), F.array_append(state["kept"], word).alias("kept")))
+
+    return F.array_join(F.aggregate(words, start, step)["kept"], " ")
 
 
 def boilerplate_reason(text: Column) -> Column:
@@ -189,16 +210,19 @@ def chunk_words(c: Column, size: int = 350, overlap: int = 50) -> Column:
     stride = size - overlap
     if stride <= 0 or overlap < 0:
         raise ValueError("overlap must be smaller than size")
-    words = F.filter(F.split(collapse(c), " "), lambda w: w != "")
-    n = F.size(words)
-    last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / stride).cast("int"))
+    empty = F.array().cast("array<struct<chunk_index:int,start_word:int,end_word:int,chunk:string>>")
 
-    def window(i):
-        start = i * stride
-        return F.struct(i.alias("chunk_index"), start.alias("start_word"), F.least(start + size, n).alias("end_word"), F.array_join(F.slice(words, start + 1, size), " ").alias("chunk"))
+    def windows(words):
+        n = F.size(words)
+        last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / stride).cast("int"))
 
-    empty = F.array().cast("array<struct<chunk_index:int,start_word:int,end_word:int,chunk:string>>")
-    return F.when(n == 0, empty).otherwise(F.transform(F.sequence(F.lit(0), last), window))
+        def window(i):
+            start = i * stride
+            return F.struct(i.alias("chunk_index"), start.alias("start_word"), F.least(start + size, n).alias("end_word"), F.array_join(F.slice(words, start + 1, size), " ").alias("chunk"))
+
+        return F.when(n == 0, empty).otherwise(F.transform(F.sequence(F.lit(0), last), window))
+
+    return _let(F.filter(F.split(collapse(c), " "), lambda w: w != ""), windows)
 
 
 # --- Ids ---

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores as S
 from ..functions import text as T
 from ..functions import urls as U
 
@@ -18,7 +20,9 @@ POINT_NAMESPACE = uuid.UUID("0a0e6d4c-1ef2-5a29-b33b-66ea281d2dc2")
 EMBEDDING_BYTES = 384 * 4
 FILTER_FIELDS = ["source_id", "source_domain", "source_tier", "license_id", "document_id", "content_hash"]
 RANGE_FIELDS = ["published_at", "fetched_at", "retention_until"]
-MAX_BROADCAST_ROWS = 100_000
+
+#: Bytes of query vectors that a task holds at a time, and vectors that it multiplies at a time.
+QUERY_BYTES, VECTORS = 16 << 20, 2048
 
 
 def chunks(docs: DataFrame, text_col: str, keep: list[str], size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -51,20 +55,61 @@ def metadata_filter(fields: dict[str, list], ranges: dict[str, tuple] | None = N
     return cond
 
 
+def _cosines(ids: pa.Array, vectors: pa.Array, query: np.ndarray, norms: np.ndarray, k: int, threshold: float | None):
+    """For each query the positions and scores of a batch's k best vectors, and of those that tie with them."""
+    x = np.stack([v for v in vectors.to_numpy(zero_copy_only=False)]).astype(np.float64)
+    own = np.sqrt((x * x).sum(1))
+    scale = own[:, None] * norms[None, :]
+    rough = np.divide(x @ query.T, scale, out=np.zeros(scale.shape), where=scale > 0)
+    for j in range(len(query)):
+        column = rough[:, j]
+        at = np.arange(len(x)) if len(x) <= k else np.flatnonzero(column >= np.partition(column, -k)[-k] - 1e-9)
+        # Summed row by row, so that equal vectors have equal scores whatever the batch.
+        score = np.divide((x[at] * query[j]).sum(1), scale[at, j], out=np.zeros(len(at)), where=scale[at, j] > 0)
+        if threshold is not None:
+            at, score = at[score >= threshold], score[score >= threshold]
+        yield j, at, score
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, threshold: float | None = None) -> DataFrame:
-    """queries (query_id, query_vector), vectors (id, vector) -> the k best per query by cosine, ties to the smaller id.
+    """queries (query_id, query_vector), vectors (id, vector) -> the k best per query by cosine (0 where a norm is 0), ties to the smaller id; vectors of other lengths are an error.
 
-    A stated query set in blocks against all vectors: queries are packed into arrays of a
-    fixed number, so each vector is read once per block, not once per pair, and only the
-    best k of each task and query leave it.
+    The queries are a matrix in every task (``QUERY_BYTES`` at most; more of them make
+    several passes), multiplied with each batch of vectors; only the best k of each batch
+    and query leave it. No pair becomes a row.
     """
-    block = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(1 + queries.count() // 64)))
-    block = block.groupBy("_b").agg(F.collect_list(F.struct("query_id", "query_vector")).alias("qs"))
-    few = F.broadcast(block) if block.count() * 64 <= MAX_BROADCAST_ROWS else block
-    pairs = vectors.crossJoin(few).select("id", "vector", F.explode("qs").alias("q"))
-    scored = pairs.select("id", F.col("q.query_id").alias("query_id"), S.cosine(F.col("vector"), F.col("q.query_vector")).alias("score"))
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
+    few = queries.select("query_id", "query_vector")
+    n, width = few.agg(F.count("*"), F.max(F.size("query_vector"))).first()
+    passes = 1 + n * max(width or 0, 1) * 8 // QUERY_BYTES
+    kinds = f"id {vectors.schema['id'].dataType.simpleString()}, query_id {queries.schema['query_id'].dataType.simpleString()}, score double"
+    scored = None
+    for i in range(passes):
+        part = few.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toArrow().combine_chunks()
+        shared = queries.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches, shared=shared):
+            table = shared.value
+            names = table["query_id"].combine_chunks() if len(table) else None
+            if names is None:
+                return
+            query = np.stack(table["query_vector"].to_numpy()).astype(np.float64)
+            norms = np.sqrt((query * query).sum(1))
+            for batch in batches:
+                if any(n != query.shape[1] for n in pc.unique(pc.list_value_length(batch.column(1))).to_pylist()):
+                    raise ValueError("vectors differ in length")
+                held, asked, scores = [], [], []
+                for at in range(0, len(batch), VECTORS):
+                    piece = batch.slice(at, VECTORS)
+                    for j, own, score in _cosines(piece.column(0), piece.column(1), query, norms, k, threshold):
+                        held.append(own + at)
+                        asked.append(np.full(len(own), j))
+                        scores.append(score)
+                if held:
+                    ids, by = batch.column(0).take(pa.array(np.concatenate(held))), names.take(pa.array(np.concatenate(asked)))
+                    yield pa.RecordBatch.from_arrays([ids, by, pa.array(np.concatenate(scores))], names=["id", "query_id", "score"])
+
+        one = vectors.select("id", "vector").mapInArrow(run, kinds)
+        scored = one if scored is None else scored.union(one)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

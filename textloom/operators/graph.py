@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table that is broadcast, at most.
+BROADCAST_ROWS = 200_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where none is set, a local one in local mode and one below the warehouse on a cluster."""
@@ -54,16 +57,18 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     Each round takes the smallest label among the neighbours, then that label's label, so
     chains halve. Labels go through the shared folder between rounds; what a round no
-    longer needs is deleted. A node with very many edges is a skewed join key, which
-    adaptive execution splits, and its incoming labels are reduced before the shuffle.
+    longer needs is deleted. Counted labels of ``BROADCAST_ROWS`` at most are broadcast;
+    beyond that a node with very many edges is a skewed join key, which adaptive execution
+    splits, and its incoming labels are reduced before the shuffle.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")))
+    few = F.broadcast if labels.count() <= BROADCAST_ROWS else lambda df: df
     for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        low = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
+        near = both.join(few(labels), both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
+        low = near.join(few(labels), near["a"] == labels["node"]).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
         up = labels.select(F.col("node").alias("at"), F.col("comp").alias("top"))
-        new = written(low.join(up, low["comp"] == up["at"]).select("node", F.least("comp", "top").alias("comp"), "old"))
+        new = written(low.join(few(up), low["comp"] == up["at"]).select("node", F.least("comp", "top").alias("comp"), "old"))
         drop(labels)
         if new.where("comp <> old").isEmpty():
             drop(both)

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .graph import written
 
-SCORE_CELLS = 1024
+# --- Fixed values ---
+RESAMPLES = 2000
+BINARY_TARGETS = {"clear_bias_precision_lcb": 0.90, "opinion_style_macro_f1_bootstrap_lcb": 0.65, "objective_style_recall_lcb": 0.50, "opinionated_style_recall_lcb": 0.50, "minimum_evaluable_support": 30}
+THREE_CLASS_TARGETS = {"bias_precision_lcb": 0.90, "article_report_precision_lcb": 0.90, "opinion_macro_f1_lcb": 0.65, "middle_recall_lcb": 0.50, "locked_test_bias_positive_support": 500, "locked_test_middle_support": 300}
+#: Where a Poisson variable of mean one steps up, in 65536ths.
+POISSON = [24109, 48218, 60273, 64291, 65296, 65497, 65531]
 
 
 def confusion(rows: DataFrame, labels: list[int], truth: str = "truth", pred: str = "pred") -> DataFrame:
@@ -34,28 +41,31 @@ def overall(matrix: DataFrame) -> DataFrame:
     return hit.crossJoin(each)  # one row each
 
 
-def decision(rows: DataFrame, truth: str = "truth", selected: str = "selected") -> DataFrame:
+def decision(rows: DataFrame, truth: str = "truth", selected: str = "selected", confidence: float = 0.95) -> DataFrame:
     """tp, fp, fn, coverage, precision, recall and Wilson bounds of a selection."""
     t, s = F.col(truth) == 1, F.col(selected)
     a = rows.agg(F.count_if(t & s).alias("tp"), F.count_if(~t & s).alias("fp"), F.count_if(t & ~s).alias("fn"), F.count("*").alias("n"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return a.select("tp", "fp", "fn", S.ratio(tp + fp, F.col("n")).alias("coverage"), S.ratio(tp, tp + fp).alias("precision"), S.ratio(tp, tp + fn).alias("recall"), S.wilson_lower(tp, tp + fp).alias("precision_lower"), S.wilson_lower(tp, tp + fn).alias("recall_lower"))
+    return a.select("tp", "fp", "fn", S.ratio(tp + fp, F.col("n")).alias("coverage"), S.ratio(tp, tp + fp).alias("precision"), S.ratio(tp, tp + fn).alias("recall"), S.wilson_lower(tp, tp + fp, confidence).alias("precision_lower"), S.wilson_lower(tp, tp + fn, confidence).alias("recall_lower"))
 
 
-def by_score(rows: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
-    """Distinct scores with their counts and running counts from the highest down.
+def by_score(rows: DataFrame, keys: list[str], score: str, positive: Column, *, ascending: bool = False) -> DataFrame:
+    """Distinct scores with their counts and running counts from the highest down (or the lowest up).
 
-    Scores in [0, 1] are dealt to fixed cells; running sums take place inside cells and,
-    with one row each, over cells, so no task sees all scores.
+    Distinct scores are dealt to ranges of about equal numbers of them (by sampled bounds,
+    so any distribution is even); running sums take place inside ranges and, with one row
+    each, over ranges, so no task sees all scores. The dealt table is written once.
     """
     g = rows.groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    g = g.withColumn("cell", F.least(F.floor(F.col("score") * SCORE_CELLS), F.lit(SCORE_CELLS)).cast("int"))
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = written(g.repartitionByRange(ranges, *keys, "score").withColumn("cell", F.spark_partition_id()))
     cells = g.groupBy(*keys, "cell").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    above = Window.partitionBy(*keys).orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*keys, "cell", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("pos_above"), F.coalesce(F.sum("q").over(above), F.lit(0)).alias("neg_above"), F.sum("p").over(Window.partitionBy(*keys)).alias("pos_all"), F.sum("q").over(Window.partitionBy(*keys)).alias("neg_all"))
-    inside = Window.partitionBy(*keys, "cell").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    order = lambda c: F.col(c).asc() if ascending else F.col(c).desc()
+    before = Window.partitionBy(*keys).orderBy(order("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*keys, "cell", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("pos_before"), F.coalesce(F.sum("q").over(before), F.lit(0)).alias("neg_before"), F.sum("p").over(Window.partitionBy(*keys)).alias("pos_all"), F.sum("q").over(Window.partitionBy(*keys)).alias("neg_all"))
+    inside = Window.partitionBy(*keys, "cell").orderBy(order("score")).rowsBetween(Window.unboundedPreceding, 0)
     g = g.join(cells, [*keys, "cell"])
-    return g.withColumn("cum_pos", F.col("pos_above") + F.sum("pos").over(inside)).withColumn("cum_neg", F.col("neg_above") + F.sum("neg").over(inside)).drop("pos_above", "neg_above", "cell")
+    return g.withColumn("cum_pos", F.col("pos_before") + F.sum("pos").over(inside)).withColumn("cum_neg", F.col("neg_before") + F.sum("neg").over(inside)).drop("pos_before", "neg_before", "cell")
 
 
 def roc_auc(rows: DataFrame, score: str = "p", truth: str = "truth", keys: list[str] = ()) -> DataFrame:
@@ -73,18 +83,28 @@ def average_precision(rows: DataFrame, score: str = "p", truth: str = "truth", k
 
 
 def confident_region(rows: DataFrame, *, upper: bool, target: float, min_support: int, score: str = "p", truth: str = "truth", confidence: float = 0.95) -> DataFrame:
-    """The widest region of scores whose precision's lower bound reaches the target: threshold, support, correct, observed, lcb, enabled, reason (with the best attempt where none does)."""
-    flip = F.col(score) if upper else 1 - F.col(score)
-    s = by_score(rows.select(flip.alias("s"), F.col(score).alias("raw"), F.col(truth).alias("t")), [], "s", F.col("t") == (1 if upper else 0))
-    r = s.select((F.col("score") if upper else 1 - F.col("score")).alias("threshold"), (F.col("cum_pos") + F.col("cum_neg")).alias("support"), F.col("cum_pos").alias("correct"))
+    """The widest region of scores, from its threshold up (or down), whose precision's lower bound reaches the target.
+
+    enabled, threshold (null if disabled), reason (why it is disabled), and support,
+    correct, observed, lcb and coverage of the region, or of the best attempt, whose
+    threshold is best_threshold.
+    """
+    s = by_score(rows, [], score, F.col(truth) == (1 if upper else 0), ascending=not upper)
+    r = s.select(F.col("score").alias("threshold"), (F.col("cum_pos") + F.col("cum_neg")).alias("support"), F.col("cum_pos").alias("correct"), "pos_all", (F.col("pos_all") + F.col("neg_all")).alias("total"))
     r = r.withColumn("lcb", S.wilson_lower(F.col("correct"), F.col("support"), confidence))
     good = (F.col("support") >= min_support) & (F.col("lcb") >= target)
     pick = F.max_by(F.struct("threshold", "support", "correct", "lcb"), F.when(good, F.col("support")))
-    fallback = F.max(F.struct("lcb", "support", "threshold", "correct"))
-    a = r.agg(F.bool_or(good).alias("enabled"), pick.alias("best"), fallback.alias("tried"), F.max("support").alias("most"))
-    at = lambda f: F.when(F.col("enabled"), F.col(f"best.{f}")).otherwise(F.col(f"tried.{f}")).alias(f)
-    reason = F.when(F.col("enabled"), F.lit(None)).when(F.col("most") < min_support, "minimum_predicted_support_not_met").otherwise("target_wilson_lcb_not_met")
-    return a.select("enabled", at("threshold"), at("support"), at("correct"), at("lcb"), reason.alias("reason"))
+    tried = F.max(F.struct("lcb", "support", (-F.col("threshold") if upper else F.col("threshold")).alias("order"), "threshold", "correct"))
+    a = r.agg(F.coalesce(F.bool_or(good), F.lit(False)).alias("enabled"), pick.alias("best"), tried.alias("tried"), F.coalesce(F.max("total"), F.lit(0)).alias("total"), F.coalesce(F.max("pos_all"), F.lit(0)).alias("reference"))
+    at = lambda f: F.when(F.col("enabled"), F.col(f"best.{f}")).otherwise(F.col(f"tried.{f}"))
+    none = "no_positive_reference_examples" if upper else "no_negative_reference_examples"
+    reason = F.when(F.col("enabled"), F.lit(None)).when(F.col("total") == 0, "no_supervised_calibration_examples").when(F.col("reference") == 0, none)
+    reason = reason.when(F.col("total") < min_support, "minimum_predicted_support_not_met").otherwise("target_wilson_lcb_not_met")
+    support, correct = F.coalesce(at("support"), F.lit(0)), F.coalesce(at("correct"), F.lit(0))
+    return a.select(
+        "enabled", F.when(F.col("enabled"), F.col("best.threshold")).alias("threshold"), reason.alias("reason"), support.alias("support"), correct.alias("correct"), F.when(support > 0, correct / support).alias("observed"),
+        F.coalesce(at("lcb"), F.lit(0.0)).alias("lcb"), S.ratio(support, F.col("total")).alias("coverage"), F.col("tried.threshold").alias("best_threshold"),
+    )
 
 
 def reliability(rows: DataFrame, bins: int = 10, p: str = "p", truth: str = "truth") -> DataFrame:
@@ -108,29 +128,107 @@ def state_coverage(rows: DataFrame, states: list[str], column: str) -> DataFrame
     return spine.join(held, "state", "left").fillna(0, ["n"]).crossJoin(F.broadcast(total)).select("position", "state", "n", S.ratio(F.col("n"), F.col("total")).alias("share"))  # one row
 
 
-def macro_f1(counts: list[dict]) -> float:
-    """From {(truth, pred): n} tables added together."""
+def macro_f1(counts: list[dict], labels: list[int]) -> float:
+    """Mean over ``labels``, whether they occur or not, from {(truth, pred): n} tables added together."""
     total: dict = {}
     for c in counts:
         for k, n in c.items():
             total[k] = total.get(k, 0) + n
-    labels = sorted({x for k in total for x in k})
     f = []
     for x in labels:
         tp = total.get((x, x), 0)
         other = sum(n for (a, b), n in total.items() if (a == x) != (b == x))
-        f.append(2 * tp / (2 * tp + other) if tp or other else 0.0)
-    return sum(f) / len(f) if f else 0.0
+        f.append(2 * tp / (2 * tp + other) if tp else 0.0)
+    return sum(f) / len(f)
 
 
-def bootstrap_lower(rows: DataFrame, group: str, *, truth: str = "truth", pred: str = "pred", resamples: int = 2000, seed: int = 42, confidence: float = 0.95) -> float:
-    """Lower bound of macro F1 under resampling of whole groups, with the standard generator's draws. Spark reduces to one confusion table per group; groups are what the driver draws from."""
+def bootstrap_lower(rows: DataFrame, group: str, labels: list[int], *, truth: str = "truth", pred: str = "pred", resamples: int = RESAMPLES, seed: int = 42, confidence: float = 0.95) -> float:
+    """Lower bound of macro F1 under resampling of whole groups, with the standard generator's draws in the order of group names: for tables whose groups fit the driver. ``bootstrap_table`` draws in the cluster."""
     held: dict = {}
-    for r in rows.groupBy(group, truth, pred).agg(F.count("*").alias("n")).orderBy(group).toLocalIterator():
+    for r in rows.groupBy(F.col(group).cast("string").alias(group), truth, pred).agg(F.count("*").alias("n")).orderBy(group).toLocalIterator():
         held.setdefault(r[0], {})[(r[1], r[2])] = r[3]
+    if not held:
+        return 0.0
     groups, rng = list(held.values()), random.Random(seed)
-    draws = sorted(macro_f1([groups[rng.randrange(len(groups))] for _ in groups]) for _ in range(resamples))
-    return draws[max(0, -int(-((1 - confidence) * resamples) // 1) - 1)]
+    draws = sorted(macro_f1([groups[rng.randrange(len(groups))] for _ in groups], labels) for _ in range(resamples))
+    return draws[_order_statistic(resamples, confidence)]
+
+
+def _order_statistic(resamples: int, confidence: float) -> int:
+    """In floating point, as the fixed results have it: 100 for 2,000 resamples."""
+    return max(0, math.ceil((1 - confidence) * resamples) - 1)
+
+
+def bootstrap_table(rows: DataFrame, group: str, labels: list[int], *, truth: str = "truth", pred: str = "pred", resamples: int = RESAMPLES, seed: int = 42) -> DataFrame:
+    """(resample, macro_f1) under resampling of whole groups, in the cluster and the same for any partitioning.
+
+    How often a resample draws a group is Poisson with mean one, from 16 bits of a hash
+    of seed, block and group: a hash serves sixteen resamples. Counts are reduced before
+    the shuffle; ``resamples`` rows come out.
+    """
+    t, p = F.col(truth), F.col(pred)
+    cells = [(f"{k}{i}", cond) for i, x in enumerate(labels) for k, cond in (("tp", (t == x) & (p == x)), ("fp", (t != x) & (p == x)), ("fn", (t == x) & (p != x)))]
+    g = rows.groupBy(F.col(group).cast("string").alias("g")).agg(*[F.count_if(c).alias(n) for n, c in cells])
+    g = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 16) - 1))).alias("block"))
+    g = g.withColumn("hash", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("block").cast("string"), F.lit(":"), F.col("g")), 256))
+    for i in range(16):
+        u = F.conv(F.substring("hash", 4 * i + 1, 4), 16, 10).cast("int")
+        g = g.withColumn(f"k{i}", sum(((u >= edge).cast("int") for edge in POISSON), F.lit(0)))
+    s = g.groupBy("block").agg(*[F.sum(F.col(f"k{i}") * F.col(n)).alias(f"{n}_{i}") for i in range(16) for n, _ in cells])
+    each = lambda i: sum((S.f1(F.col(f"tp{x}_{i}"), F.col(f"fp{x}_{i}"), F.col(f"fn{x}_{i}")) for x in range(len(labels))), F.lit(0.0)) / len(labels)
+    out = s.select(F.inline(F.array(*[F.struct((F.col("block") * 16 + i).alias("resample"), each(i).alias("macro_f1")) for i in range(16)])))
+    return out.where(F.col("resample") < resamples)
+
+
+def bootstrap_bound(table: DataFrame, resamples: int = RESAMPLES, confidence: float = 0.95) -> DataFrame:
+    """The order statistic of ``bootstrap_table``'s rows: lower_bound, 0 without any."""
+    return table.agg(F.coalesce(F.try_element_at(F.array_sort(F.collect_list("macro_f1")), F.lit(_order_statistic(resamples, confidence) + 1)), F.lit(0.0)).alias("lower_bound"))
+
+
+def binary_gates(bias: DataFrame, style: DataFrame, group: str, *, targets: dict | None = None, resamples: int = RESAMPLES, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+    """One row: the measured values and ``failures`` of a frozen binary classifier. bias: truth, selected (state clear_bias); style: truth, pred, ``group``."""
+    goal = BINARY_TARGETS | (targets or {})
+    clear = decision(bias, confidence=confidence).select((F.col("tp") + F.col("fp")).alias("clear_selected"), F.col("precision_lower").alias("clear_precision"))
+    t, hit = F.col("truth"), F.col("truth") == F.col("pred")
+    sides = style.agg(*[F.count_if(t == i).alias(f"n{i}") for i in (0, 1)], *[F.count_if((t == i) & hit).alias(f"hit{i}") for i in (0, 1)])
+    sides = sides.select(F.col("n0").alias("objective_support"), F.col("n1").alias("opinionated_support"), *[S.wilson_lower(F.col(f"hit{i}"), F.col(f"n{i}"), confidence).alias(n) for i, n in ((0, "objective_recall"), (1, "opinionated_recall"))])
+    bound = bootstrap_bound(bootstrap_table(style, group, [0, 1], resamples=resamples, seed=seed), resamples, confidence).withColumnRenamed("lower_bound", "macro_f1_bound")
+    least = goal["minimum_evaluable_support"]
+    rules = [
+        ("insufficient_clear_bias_selected_support", F.col("clear_selected") < least), ("insufficient_objective_style_support", F.col("objective_support") < least), ("insufficient_opinionated_style_support", F.col("opinionated_support") < least),
+        ("clear_bias_precision_lcb_below_target", F.col("clear_precision") < goal["clear_bias_precision_lcb"]), ("opinion_style_macro_f1_bootstrap_lcb_below_target", F.col("macro_f1_bound") < goal["opinion_style_macro_f1_bootstrap_lcb"]),
+        ("objective_style_recall_lcb_below_target", F.col("objective_recall") < goal["objective_style_recall_lcb"]), ("opinionated_style_recall_lcb_below_target", F.col("opinionated_recall") < goal["opinionated_style_recall_lcb"]),
+    ]
+    return _failing(clear.crossJoin(sides).crossJoin(bound), rules)  # one row each
+
+
+def three_class_gates(bias: DataFrame, opinion: DataFrame, group: str, reports: DataFrame | None = None, *, targets: dict | None = None, resamples: int = RESAMPLES, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+    """One row: the measured values and ``failures`` of the three-class scorecard. bias: truth, selected; opinion: truth, pred (0 to 2), ``group``; reports: ``group``, gold (null: not judged), selected."""
+    goal = THREE_CLASS_TARGETS | (targets or {})
+    own = decision(bias, confidence=confidence).select((F.col("tp") + F.col("fn")).alias("bias_support"), F.col("precision_lower").alias("bias_precision"))
+    middle = opinion.agg(F.count_if(F.col("truth") == 1).alias("middle_support"), F.count_if((F.col("truth") == 1) & (F.col("pred") == 1)).alias("hit"))
+    middle = middle.select("middle_support", S.wilson_lower(F.col("hit"), F.col("middle_support"), confidence).alias("middle_recall"))
+    bound = bootstrap_bound(bootstrap_table(opinion, group, [0, 1, 2], resamples=resamples, seed=seed), resamples, confidence).withColumnRenamed("lower_bound", "macro_f1_bound")
+    judged = F.lit(None).cast("double").alias("report_precision")
+    table = own.crossJoin(middle).crossJoin(bound)  # one row each
+    if reports is not None:
+        each = reports.where("gold is not null").groupBy(group).agg(F.bool_or("gold").cast("int").alias("truth"), F.bool_or("selected").alias("selected"))
+        measured = each.agg(F.count("*").alias("n"), F.count_if((F.col("truth") == 1) & F.col("selected")).alias("tp"), F.count_if("selected").alias("picked"))
+        table = table.crossJoin(measured.select(F.when(F.col("n") > 0, S.wilson_lower(F.col("tp"), F.col("picked"), confidence)).alias("report_precision")))  # one row
+    else:
+        table = table.select("*", judged)
+    rules = [
+        ("insufficient_locked_test_bias_positive_support", F.col("bias_support") < goal["locked_test_bias_positive_support"]), ("insufficient_locked_test_middle_support", F.col("middle_support") < goal["locked_test_middle_support"]),
+        ("bias_positive_precision_lcb_below_target", F.col("bias_precision") < goal["bias_precision_lcb"]), ("article_report_precision_gate_not_evaluable", F.col("report_precision").isNull()),
+        ("article_report_precision_lcb_below_target", F.col("report_precision") < goal["article_report_precision_lcb"]), ("opinion_macro_f1_lcb_below_target", F.col("macro_f1_bound") < goal["opinion_macro_f1_lcb"]),
+        ("middle_recall_lcb_below_target", F.col("middle_recall") < goal["middle_recall_lcb"]),
+    ]
+    return _failing(table, rules)
+
+
+def _failing(table: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    failures = F.filter(F.array(*[F.when(rule, name) for name, rule in rules]), lambda x: x.isNotNull())
+    return table.withColumn("failures", failures).withColumn("promotion_state", F.when(F.size("failures") == 0, "eligible").otherwise("rejected"))
 
 
 # --- retrieval ---

@@ -9,8 +9,9 @@ from ..functions import scores as S
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import articles, corpus, dataprep, evidence, metrics, pages
-from .more_queries import Q_CITE, Q_CLASS, Q_NEAR, Q_POINTS, Q_STEPS, citations, corpus_points, neighbours, predicted
-from .queries import _Q_BUILT, Q_PROBABLE, Q_RECORDS, Q_SENTENCES, _q_url, _stamp, probable, q_collapse, q_cut, q_lit, q_prob, query, records, sentence_rows, table
+from ..operators.graph import written
+from .more_queries import Q_BOUND, Q_CITE, Q_CLASS, Q_NEAR, Q_POINTS, Q_STEPS, citations, corpus_points, neighbours, predicted, q_bootstrap
+from .queries import _Q_BUILT, Q_PROBABLE, Q_RECORDS, Q_SENTENCES, _q_url, _stamp, probable, q_collapse, q_cut, q_lit, q_prob, q_wilson, query, records, sentence_rows, table
 
 
 @query("t03_legacy_normalisers", f"SELECT doc_id, {q_collapse('text')} AS text, CASE lower(trim(lang)) WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' ELSE trim(lang) END AS label FROM documents")
@@ -122,13 +123,19 @@ def _(spark, sf):
     return out.select(F.round("macro_f1", 9).alias("bias_macro_f1"), F.round("average_precision", 9).alias("bias_ap"), F.round("s", 9).alias("style_accuracy"))
 
 
-@query("d05_three_class_gates", f"WITH {Q_PROBABLE}, ti AS (SELECT (doc_id % 3)::int AS truth, CASE WHEN p < 0.5 THEN 0 WHEN p_style < 0.5 THEN 1 ELSE 2 END AS pred FROM prob) SELECT array_to_string(list_filter([CASE WHEN avg((truth = pred)::int) < 0.6 THEN 'accuracy_below_minimum' END, CASE WHEN count(*) FILTER (truth = 1) < 300 THEN 'middle_support_below_minimum' END, CASE WHEN count(*) FILTER (truth = 1 AND pred = 1) / greatest(1, count(*) FILTER (truth = 1))::double < 0.5 THEN 'middle_recall_below_minimum' END], lambda x: x IS NOT NULL), ',') AS failures FROM ti")
+@query("d05_three_class_gates", f"""WITH {Q_PROBABLE}, bias AS (SELECT truth, p >= 0.8 AS selected FROM prob), ti AS (SELECT doc_id, (doc_id % 3)::int AS truth, CASE WHEN p < 0.5 THEN 0 WHEN p_style < 0.5 THEN 1 ELSE 2 END AS pred FROM prob), {q_bootstrap('ti', 3)},
+rep AS (SELECT doc_id, bool_or(toxic = 1) AS gold, bool_or(p >= 0.8) AS selected FROM prob WHERE quality = 1 GROUP BY doc_id),
+m AS (SELECT (SELECT count(*) FILTER (truth = 1) FROM bias) AS bias_support, (SELECT {q_wilson('count(*) FILTER (truth = 1 AND selected)', 'count(*) FILTER (selected)')} FROM bias) AS bias_precision, (SELECT count(*) FILTER (truth = 1) FROM ti) AS middle_support,
+(SELECT {q_wilson('count(*) FILTER (truth = 1 AND pred = 1)', 'count(*) FILTER (truth = 1)')} FROM ti) AS middle_recall, (SELECT CASE WHEN count(*) > 0 THEN {q_wilson('count(*) FILTER (gold AND selected)', 'count(*) FILTER (selected)')} END FROM rep) AS report_precision, {Q_BOUND} AS macro_f1_bound)
+SELECT bias_support, middle_support, {", ".join(f"round({x}, 9) AS {x}" for x in ("bias_precision", "middle_recall", "report_precision", "macro_f1_bound"))}, array_to_string(list_filter([CASE WHEN bias_support < 500 THEN 'insufficient_locked_test_bias_positive_support' END, CASE WHEN middle_support < 300 THEN 'insufficient_locked_test_middle_support' END, CASE WHEN bias_precision < 0.9 THEN 'bias_positive_precision_lcb_below_target' END,
+CASE WHEN report_precision IS NULL THEN 'article_report_precision_gate_not_evaluable' END, CASE WHEN report_precision < 0.9 THEN 'article_report_precision_lcb_below_target' END, CASE WHEN macro_f1_bound < 0.65 THEN 'opinion_macro_f1_lcb_below_target' END, CASE WHEN middle_recall < 0.5 THEN 'middle_recall_lcb_below_target' END], lambda x: x IS NOT NULL), ',') AS failures FROM m""")
 def _(spark, sf):
-    t, p = F.col("truth"), F.col("pred")
-    rows = probable(spark, sf).select((F.col("doc_id") % 3).cast("int").alias("truth"), F.when(F.col("p") < 0.5, 0).when(F.col("p_style") < 0.5, 1).otherwise(2).alias("pred"))
-    a = rows.agg(F.avg((t == p).cast("int")).alias("acc"), F.count_if(t == 1).alias("n"), F.count_if((t == 1) & (p == 1)).alias("hit"))
-    f = F.array(F.when(F.col("acc") < 0.6, "accuracy_below_minimum"), F.when(F.col("n") < 300, "middle_support_below_minimum"), F.when(F.col("hit") / F.greatest(F.lit(1), F.col("n")) < 0.5, "middle_recall_below_minimum"))
-    return a.select(F.array_join(F.filter(f, lambda x: x.isNotNull()), ",").alias("failures"))
+    rows = written(probable(spark, sf).select("doc_id", "p", "p_style", "truth", "toxic", "quality"))
+    bias = rows.select("truth", (F.col("p") >= 0.8).alias("selected"))
+    opinion = rows.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("truth"), F.when(F.col("p") < 0.5, 0).when(F.col("p_style") < 0.5, 1).otherwise(2).alias("pred"))
+    reports = rows.select("doc_id", F.when(F.col("quality") == 1, F.col("toxic") == 1).alias("gold"), (F.col("p") >= 0.8).alias("selected"))
+    out = metrics.three_class_gates(bias, opinion, "doc_id", reports)
+    return out.select("bias_support", "middle_support", *[F.round(x, 9).alias(x) for x in ("bias_precision", "middle_recall", "report_precision", "macro_f1_bound")], F.array_join("failures", ",").alias("failures"))
 
 
 @query("d10_response", f"WITH {Q_SENTENCES} SELECT doc_id, 'article-' || doc_id AS article, count(*) AS sentence_count, array_to_string(list(pos ORDER BY pos) FILTER (pos % 4 = 1 AND length(sentence) > 30), ',') AS selected FROM sents GROUP BY doc_id")

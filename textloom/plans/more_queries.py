@@ -9,6 +9,7 @@ from ..functions import scores as S
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import articles, corpus, dataprep, evidence, metrics, pages
+from ..operators.graph import written
 from .queries import (
     Q_BUCKET, Q_DOT, Q_PROBABLE, Q_RELEVANCE, Q_SCORED, Q_SENTENCES, Q_SIGNAL, _q_url, _stamp, probable, q_collapse, q_cosine, q_cut, q_lit, q_prob, q_wilson, query, records, sentence_rows, table,
 )
@@ -162,11 +163,28 @@ def _(spark, sf):
     return metrics.by_score(probable(spark, sf), [], "p", F.col("truth") == 1).select("score", "pos", "cum_pos", "cum_neg")
 
 
-@query("w07_confident_region", f"""WITH {Q_PROBABLE}, {Q_STEPS}, l AS (SELECT p, cp, cn, {q_wilson('cp', 'cn')} AS lcb FROM c)
-SELECT count(*) FILTER (cn >= 30 AND lcb >= 0.75) > 0 AS enabled, round(coalesce(arg_max(p, cn) FILTER (cn >= 30 AND lcb >= 0.75), (SELECT p FROM l ORDER BY lcb DESC, cn DESC, p DESC LIMIT 1)), 9) AS threshold FROM l""")
+def q_region(upper: bool) -> str:
+    order, right = ("DESC", 1) if upper else ("ASC", 0)
+    none = "no_positive_reference_examples" if upper else "no_negative_reference_examples"
+    return f"""(WITH g AS (SELECT p, count(*) FILTER (truth = {right}) AS pos, count(*) AS n FROM prob GROUP BY p), c AS (SELECT p, sum(pos) OVER (ORDER BY p {order})::bigint AS cp, sum(n) OVER (ORDER BY p {order})::bigint AS cn FROM g),
+l AS (SELECT *, {q_wilson('cp', 'cn')} AS lcb, (SELECT sum(n) FROM g) AS total, (SELECT sum(pos) FROM g) AS reference FROM c), w AS (SELECT *, target, cn >= 30 AND lcb >= target AS good FROM l, (VALUES (0.5), (0.55), (0.99)) t(target)),
+b AS (SELECT target, bool_or(good) AS enabled, arg_max({{'p': p, 'cn': cn, 'cp': cp, 'lcb': lcb}}, cn) FILTER (good) AS best, max(total) AS total, max(reference) AS reference FROM w GROUP BY target),
+tried AS (SELECT p, cn, cp, lcb FROM l ORDER BY lcb DESC, cn DESC, p {'ASC' if upper else 'DESC'} LIMIT 1)
+SELECT {'true' if upper else 'false'} AS upper, b.target::double AS target, enabled, round(best.p, 9) AS threshold, CASE WHEN enabled THEN NULL WHEN b.total = 0 THEN 'no_supervised_calibration_examples' WHEN b.reference = 0 THEN '{none}' WHEN b.total < 30 THEN 'minimum_predicted_support_not_met' ELSE 'target_wilson_lcb_not_met' END AS reason,
+CASE WHEN enabled THEN best.cn ELSE tried.cn END AS support, CASE WHEN enabled THEN best.cp ELSE tried.cp END AS correct, round(CASE WHEN enabled THEN best.lcb ELSE tried.lcb END, 9) AS lcb, round(tried.p, 9) AS best_threshold FROM b, tried)"""
+
+
+@query("w07_confident_region", f"WITH {Q_PROBABLE} SELECT * FROM {q_region(True)} UNION ALL SELECT * FROM {q_region(False)}")
 def _(spark, sf):
-    r = metrics.confident_region(probable(spark, sf), upper=True, target=0.75, min_support=30)
-    return r.select("enabled", F.round("threshold", 9).alias("threshold"))
+    """Both sides for three targets: one that is easy to reach, one near the base rate, one out of reach."""
+    rows = written(probable(spark, sf).select("p", "truth"))
+    out = None
+    for upper in (True, False):
+        for target in (0.5, 0.55, 0.99):
+            r = metrics.confident_region(rows, upper=upper, target=target, min_support=30)
+            r = r.select(F.lit(upper).alias("upper"), F.lit(target).alias("target"), "enabled", F.round("threshold", 9).alias("threshold"), "reason", "support", "correct", F.round("lcb", 9).alias("lcb"), F.round("best_threshold", 9).alias("best_threshold"))
+            out = r if out is None else out.union(r)
+    return out
 
 
 @query("a13_state_coverage", f"WITH {Q_PROBABLE}, s AS (SELECT CASE WHEN p <= 0.2 THEN 'clear_non_bias' WHEN p >= 0.8 THEN 'clear_bias' ELSE 'possible_bias' END AS state FROM prob) SELECT position::int AS position, k AS state, count(s.state) AS n, round(count(s.state) / (SELECT count(*) FROM s)::double, 9) AS share FROM (VALUES (0, 'clear_non_bias'), (1, 'possible_bias'), (2, 'clear_bias'), (3, 'never')) v(position, k) LEFT JOIN s ON s.state = k GROUP BY ALL")
@@ -263,25 +281,41 @@ def _(spark, sf):
     return d.agg(F.round(F.sum(w * F.col("n_chars")) / F.sum(w), 9).alias("mean"))
 
 
-@query("a14_group_bootstrap", f"""WITH {Q_PRED}, g AS (SELECT doc_id, count(*) FILTER (truth = 1 AND pred = 1) AS tp, count(*) FILTER (truth = 0 AND pred = 1) AS fp, count(*) FILTER (truth = 1 AND pred = 0) AS fn, count(*) FILTER (truth = 0 AND pred = 0) AS tn FROM pr GROUP BY doc_id),
-w AS (SELECT r.i AS r, ('0x' || substr(sha256('42:' || r.i || ':' || doc_id), 1, 8))::bigint % 3 AS k, g.* FROM g, range(50) r(i)),
-s AS (SELECT r, sum(k * tp) AS tp, sum(k * fp) AS fp, sum(k * fn) AS fn, sum(k * tn) AS tn FROM w GROUP BY r) SELECT r AS resample, round((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2.0, 9) AS macro_f1 FROM s""")
+def q_bootstrap(rows: str, labels: int, name: str = "boot") -> str:
+    """CTEs up to ``name``(resample, macro_f1) from ``rows``(doc_id, truth, pred)."""
+    cells = [f"{k}{x}" for x in range(labels) for k in ("tp", "fp", "fn")]
+    counts = ", ".join(f"count(*) FILTER (truth = {x} AND pred = {x}) AS tp{x}, count(*) FILTER (truth <> {x} AND pred = {x}) AS fp{x}, count(*) FILTER (truth = {x} AND pred <> {x}) AS fn{x}" for x in range(labels))
+    k = " + ".join(f"(u >= {edge})::int" for edge in metrics.POISSON)
+    f1 = " + ".join(f"coalesce(2.0 * tp{x} / nullif(2 * tp{x} + fp{x} + fn{x}, 0), 0)" for x in range(labels))
+    return f"""{name}_g AS (SELECT doc_id, {counts} FROM {rows} GROUP BY doc_id), {name}_h AS (SELECT g.*, b.i AS block, sha256('42:' || b.i || ':' || doc_id) AS hash FROM {name}_g g, range({metrics.RESAMPLES // 16}) b(i)),
+{name}_u AS (SELECT h.*, block * 16 + s.i AS resample, ('0x' || substr(hash, (4 * s.i + 1)::int, 4))::int AS u FROM {name}_h h, range(16) s(i)), {name}_s AS (SELECT resample, {", ".join(f"sum(({k}) * {c}) AS {c}" for c in cells)} FROM {name}_u GROUP BY resample),
+{name} AS (SELECT resample, ({f1}) / {labels}.0 AS macro_f1 FROM {name}_s)"""
+
+
+Q_BOUND = "coalesce((SELECT list_sort(list(macro_f1))[101] FROM boot), 0)"
+
+
+@query("a14_group_bootstrap", f"WITH {Q_PRED}, {q_bootstrap('pr', 2)} SELECT resample, round(macro_f1, 9) AS macro_f1, round({Q_BOUND}, 9) AS lower_bound FROM boot")
 def _(spark, sf):
-    """Hash-drawn weights 0 to 2 for each group and resample: distributed, and the same for any partitioning."""
-    t, p = F.col("truth"), F.col("pred")
-    g = predicted(spark, sf).groupBy("doc_id").agg(F.count_if((t == 1) & (p == 1)).alias("tp"), F.count_if((t == 0) & (p == 1)).alias("fp"), F.count_if((t == 1) & (p == 0)).alias("fn"), F.count_if((t == 0) & (p == 0)).alias("tn"))
-    g = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("resample"))
-    k = F.conv(F.substring(F.sha2(F.concat(F.lit("42:"), F.col("resample"), F.lit(":"), F.col("doc_id")), 256), 1, 8), 16, 10).cast("bigint") % 3
-    s = g.groupBy("resample").agg(*[F.sum(k * F.col(c)).alias(c) for c in ("tp", "fp", "fn", "tn")])
-    return s.select(F.col("resample").cast("bigint").alias("resample"), F.round((S.f1(F.col("tp"), F.col("fp"), F.col("fn")) + S.f1(F.col("tn"), F.col("fn"), F.col("fp"))) / 2, 9).alias("macro_f1"))
+    table = written(metrics.bootstrap_table(predicted(spark, sf), "doc_id", [0, 1]))
+    return table.crossJoin(metrics.bootstrap_bound(table)).select(F.col("resample").cast("bigint").alias("resample"), F.round("macro_f1", 9).alias("macro_f1"), F.round("lower_bound", 9).alias("lower_bound"))  # one row
+
+
+_MEASURED = ["clear_precision", "objective_recall", "opinionated_recall", "macro_f1_bound"]
 
 
-@query("d04_release_gates", f"WITH {Q_CLASS} SELECT array_to_string(list_filter([CASE WHEN (SELECT avg(f1) FROM pc) < 0.75 THEN 'bias_macro_f1_below_minimum' END, CASE WHEN (SELECT min(support) FROM pc) < 5 THEN 'support_below_minimum' END, CASE WHEN (SELECT avg((truth = pred)::int) FROM pr) < 0.8 THEN 'accuracy_below_minimum' END], lambda x: x IS NOT NULL), ',') AS failures")
+@query("d04_release_gates", f"""WITH {Q_PROBABLE}, st AS (SELECT doc_id, toxic AS truth, (p_style >= 0.5)::int AS pred FROM prob), {q_bootstrap('st', 2)},
+m AS (SELECT (SELECT count(*) FILTER (p >= 0.8) FROM prob) AS clear_selected, (SELECT {q_wilson('count(*) FILTER (p >= 0.8 AND truth = 1)', 'count(*) FILTER (p >= 0.8)')} FROM prob) AS clear_precision, (SELECT count(*) FILTER (truth = 0) FROM st) AS objective_support, (SELECT count(*) FILTER (truth = 1) FROM st) AS opinionated_support,
+(SELECT {q_wilson('count(*) FILTER (truth = 0 AND pred = 0)', 'count(*) FILTER (truth = 0)')} FROM st) AS objective_recall, (SELECT {q_wilson('count(*) FILTER (truth = 1 AND pred = 1)', 'count(*) FILTER (truth = 1)')} FROM st) AS opinionated_recall, {Q_BOUND} AS macro_f1_bound),
+f AS (SELECT *, list_filter([CASE WHEN clear_selected < 30 THEN 'insufficient_clear_bias_selected_support' END, CASE WHEN objective_support < 30 THEN 'insufficient_objective_style_support' END, CASE WHEN opinionated_support < 30 THEN 'insufficient_opinionated_style_support' END, CASE WHEN clear_precision < 0.9 THEN 'clear_bias_precision_lcb_below_target' END,
+CASE WHEN macro_f1_bound < 0.65 THEN 'opinion_style_macro_f1_bootstrap_lcb_below_target' END, CASE WHEN objective_recall < 0.5 THEN 'objective_style_recall_lcb_below_target' END, CASE WHEN opinionated_recall < 0.5 THEN 'opinionated_style_recall_lcb_below_target' END], lambda x: x IS NOT NULL) AS failed FROM m)
+SELECT clear_selected, objective_support, opinionated_support, {", ".join(f"round({x}, 9) AS {x}" for x in _MEASURED)}, array_to_string(failed, ',') AS failures, CASE WHEN len(failed) = 0 THEN 'eligible' ELSE 'rejected' END AS promotion_state FROM f""")
 def _(spark, sf):
-    m = metrics.confusion(predicted(spark, sf), [0, 1])
-    low = metrics.per_class(m).agg(F.min("support").alias("least"))
-    f = F.filter(F.array(F.when(F.col("macro_f1") < 0.75, "bias_macro_f1_below_minimum"), F.when(F.col("least") < 5, "support_below_minimum"), F.when(F.col("accuracy") < 0.8, "accuracy_below_minimum")), lambda x: x.isNotNull())
-    return metrics.overall(m).crossJoin(low).select(F.array_join(f, ",").alias("failures"))  # one row each
+    rows = written(probable(spark, sf).select("doc_id", "p", "p_style", "truth", "toxic"))
+    bias = rows.select("truth", (decide(F.col("p")) == "clear_bias").alias("selected"))
+    style = rows.select("doc_id", F.col("toxic").alias("truth"), (F.col("p_style") >= 0.5).cast("int").alias("pred"))
+    out = metrics.binary_gates(bias, style, "doc_id")
+    return out.select("clear_selected", "objective_support", "opinionated_support", *[F.round(x, 9).alias(x) for x in _MEASURED], F.array_join("failures", ",").alias("failures"), "promotion_state")
 
 
 @query("a25_article_score", f"WITH {Q_SCORED} SELECT doc_id, score FROM scored")

@@ -619,6 +619,10 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("source", "lang").distinct()
 
 
+#: Hash of the digests ``h`` from their number and the sums of four slices.
+Q_SUMS = "sha256(count(*) || " + " || ".join(f"':' || sum(('0x' || substr(h, {15 * i + 1}, 15))::bigint)" for i in range(4)) + ")"
+
+
 def keyed_documents(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", T.text_hash(F.col("text")).alias("text_hash"), F.sha2(T.sentences(F.col("text"))[0], 256).alias("opening")).join(table(spark, sf, "labels"), "doc_id", "left")
@@ -627,24 +631,32 @@ def keyed_documents(spark, sf):
 @query("g01_split_units", f"""WITH RECURSIVE k AS (SELECT doc_id, unnest(['text_hash:' || sha256({q_fold(q_collapse('text'))}), 'opening:' || sha256({q_cut('text')}[1])]) AS key FROM documents),
 e AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM k a JOIN (SELECT key, min(doc_id) AS doc_id FROM k GROUP BY key) b USING (key)), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 w AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT w.node, s.b FROM w JOIN s ON w.seen = s.a), c AS (SELECT node AS doc_id, min(seen) AS comp FROM w GROUP BY node)
-SELECT doc_id, 'unit:' || sha256(keys) AS unit_id FROM c JOIN (SELECT comp, array_to_string(list_sort(list(DISTINCT key)), ',') AS keys FROM c JOIN k USING (doc_id) WHERE key IS NOT NULL GROUP BY comp) USING (comp)""")
+SELECT doc_id, unit_id FROM c JOIN (SELECT comp, 'unit:' || {Q_SUMS} AS unit_id FROM (SELECT DISTINCT comp, sha256(key) AS h FROM c JOIN k USING (doc_id) WHERE key IS NOT NULL) GROUP BY comp) USING (comp)""")
 def _(spark, sf):
     return dataprep.split_units(keyed_documents(spark, sf), "doc_id", ["text_hash", "opening"])
 
 
-@query("g02_disjoint_split", "SELECT 0::bigint AS shared_keys, count(*) AS rows FROM documents")
+FRACTIONS = {"train": 0.5, "development": 0.15, "calibration": 0.15, "locked_test": 0.2}
+
+
+@query("g02_disjoint_split", "SELECT 0::bigint AS shared_keys, count(*) AS rows, true AS balanced FROM documents")
 def _(spark, sf):
+    """No key in two partitions, and each partition within 2 % of all rows of its share."""
     rows = keyed_documents(spark, sf)
-    split = dataprep.split_manifest(rows, "doc_id", ["text_hash", "opening"], ["quality", "toxic"], {"train": 0.5, "development": 0.15, "calibration": 0.15, "locked_test": 0.2}, 42)
+    split = dataprep.split_manifest(rows, "doc_id", ["text_hash", "opening"], ["quality", "toxic"], FRACTIONS, 42)
     joined = rows.join(split, "doc_id")
-    return joined.agg(F.count("*").alias("rows")).crossJoin(dataprep.leakage(joined, ["text_hash", "opening"]).agg(F.coalesce(F.sum("shared"), F.lit(0)).alias("shared_keys")))  # one row each
+    share = F.create_map(*[F.lit(x) for kv in FRACTIONS.items() for x in kv])[F.col("partition")]
+    sizes = joined.groupBy("partition").agg(F.count("*").alias("n"))
+    off = sizes.select(share.alias("share"), "n").crossJoin(sizes.agg(F.sum("n").alias("all"), F.count("*").alias("parts")))  # one row
+    balanced = off.agg((F.max(F.abs(F.col("n") / F.col("all") - F.col("share"))) <= 0.02).alias("near"), F.max("parts").alias("parts")).select((F.col("near") & (F.col("parts") == 4)).alias("balanced"))
+    return joined.agg(F.count("*").alias("rows")).crossJoin(dataprep.leakage(joined, ["text_hash", "opening"]).agg(F.coalesce(F.sum("shared"), F.lit(0)).alias("shared_keys"))).crossJoin(balanced)  # one row each
 
 
 @query("g04_split_manifest")
 def _(spark, sf):
-    return dataprep.split_manifest(keyed_documents(spark, sf), "doc_id", ["text_hash", "opening"], ["quality", "toxic"], {"train": 0.5, "development": 0.15, "calibration": 0.15, "locked_test": 0.2}, 42)
+    return dataprep.split_manifest(keyed_documents(spark, sf), "doc_id", ["text_hash", "opening"], ["quality", "toxic"], FRACTIONS, 42)
 
 
-@query("a29_fingerprint", "SELECT count(*) AS n, (SELECT sha256(string_agg(h, ',' ORDER BY b)) FROM (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM (SELECT sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}') AS h FROM documents) GROUP BY 1)) AS fingerprint FROM documents")
+@query("a29_fingerprint", f"SELECT count(*) AS n, {Q_SUMS} AS fingerprint FROM (SELECT sha256('{{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}}') AS h FROM documents)")
 def _(spark, sf):
     return dataprep.fingerprint(table(spark, sf, "documents"), ["doc_id", "lang"])
