@@ -34,16 +34,22 @@ BLANK_WORDS = byte_table(lambda b: b not in (9, 10, 11, 12, 13))
 
 
 class Memo(dict):
-    """A dictionary that fills itself by ``make`` and forgets everything at ``limit`` entries, so that its memory is bounded."""
+    """A dictionary that fills itself by ``make``. Memory is bounded: at half of ``limit`` entries it starts anew, with what it still meets of the former half, and keys of more than ``longest`` are not kept."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 400_000, longest: int = 64):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.longest, self.former = make, max(1, limit // 2), longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.limit:
+            self.former = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.former.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
