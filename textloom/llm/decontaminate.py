@@ -12,15 +12,19 @@ count once per distinct id; repeated documents each get their own row; other col
 of either table play no part. An empty benchmark leaves every document clean.
 
 The hash set is broadcast only in pieces of at most ``max_broadcast_bytes`` of test
-text. A larger benchmark is dealt into as many pieces as that takes, each scanned in
-a pass of its own whose hits are merged into those of the passes before.
+text (a matcher takes some ten times that). A larger benchmark makes as many pieces as
+that takes, a very large item is cut into parts that share all but one word of a window,
+and each piece is scanned in a pass of its own whose hits are merged into those of the
+passes before. Texts are cut once, after the last pass, so the outcome is the same in
+any number of passes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+import re
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,52 +34,91 @@ from pyspark.sql import functions as F
 from .common import ALNUM_WORDS, cut, word_values
 
 WINDOW = 10
-MAX_BROADCAST_BYTES = 32 << 20
+MAX_BROADCAST_BYTES = 8 << 20
 #: Multiplier of the polynomial hash of a window.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Matcher:
-    """The hash set of n-grams, by length, over the ids of the words that occur in them. Word id 0 is any other word."""
+    """The hash set of n-grams, by length, over the ids of the words that occur in them. Word id 0 is any other word. Arrays only: sorted hashes, each with its n-gram's words and the items that hold it."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str, bytes]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        grams: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
+        self.items: list[str] = []
+        rows, owners = defaultdict(list), defaultdict(list)
         for item, text in items:
-            words = [self.ids.setdefault(w, len(self.ids) + 1) for w in text.translate(ALNUM_WORDS).split()]
-            n = min(window, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                grams[n][tuple(words[i : i + n])].add(item)
-        self.grams = {n: {g: sorted(s) for g, s in d.items()} for n, d in grams.items()}
-        self.hashes = {n: np.unique(self.hash(np.array(list(d), np.uint64))) for n, d in self.grams.items()}
+            words = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in text.translate(ALNUM_WORDS).split()], np.int32)
+            if n := min(window, len(words)):
+                made = np.lib.stride_tricks.sliding_window_view(words, n)
+                rows[n].append(made)
+                owners[n].append(np.full(len(made), len(self.items), np.int32))
+                self.items.append(item)
+        self.tables = {n: self._table(np.concatenate(rows[n]), np.concatenate(owners[n])) for n in rows}
+
+    def _table(self, rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(hashes of the distinct n-grams, ascending; their words; where each one's items start; items)."""
+        h = self.hash(rows)
+        order = np.lexsort((owner, *rows.T, h))
+        h, rows, owner = h[order], rows[order], owner[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1]).any(1)))
+        once = new | np.concatenate(([True], owner[1:] != owner[:-1]))
+        first = np.flatnonzero(new[once])
+        return h[new], rows[new], np.append(first, once.sum()), owner[once]
 
     @staticmethod
     def hash(rows: np.ndarray) -> np.ndarray:
         h = np.zeros(len(rows), np.uint64)
         for k in range(rows.shape[1]):
-            h = h * BASE + rows[:, k]
+            h = h * BASE + rows[:, k].astype(np.uint64)
         return h
 
     def find(self, ids: np.ndarray) -> list[tuple[int, int, list[str]]]:
         """Verified windows: (start, length, items) over an array of word ids."""
         found = []
         known = np.concatenate(([0], np.cumsum(ids != 0)))
-        for n, grams in self.grams.items():
+        for n, (hashes, grams, first, owner) in self.tables.items():
             if len(ids) < n:
                 continue
             at = np.flatnonzero(known[n:] - known[:-n] == n)
             if not len(at):
                 continue
             rows = ids[at[:, None] + np.arange(n)]
-            h = self.hash(rows.astype(np.uint64))
-            table = self.hashes[n]
-            hit = table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
-            for i, row in zip(at[hit].tolist(), rows[hit].tolist(), strict=True):
-                if (items := grams.get(tuple(row))) is not None:
-                    found.append((i, n, items))
+            h = self.hash(rows)
+            low = np.searchsorted(hashes, h)
+            hit = hashes[np.minimum(low, len(hashes) - 1)] == h
+            for i, row, want, g in zip(at[hit].tolist(), rows[hit], h[hit].tolist(), low[hit].tolist(), strict=True):
+                while g < len(hashes) and hashes[g] == want:
+                    if np.array_equal(grams[g], row):
+                        found.append((i, n, [self.items[k] for k in owner[first[g] : first[g + 1]].tolist()]))
+                        break
+                    g += 1
         return found
 
 
+def matchers(items: Iterable[tuple[str, bytes]], window: int, most: int) -> Iterator[Matcher]:
+    """Matchers of at most about ``most`` bytes of text each, one at least."""
+    held, size = [], 0
+
+    def parts(item, text):
+        while len(text) > most:
+            words = list(re.finditer(rb"\S+", text[: most + (most >> 2)].translate(ALNUM_WORDS)))
+            last = next((k for k in range(len(words) - 1, -1, -1) if words[k].end() < most), -1)
+            if last < window or last + 1 == len(words):
+                break  # a word of that size, or no word behind the cut
+            yield item, text[: words[last].end()]
+            text = text[words[last - window + 2].start() :]
+        yield item, text
+
+    for item, text in items:
+        for part in parts(item, text) if len(text) > most else ((item, text),):
+            if held and size + len(part[1]) > most:
+                yield Matcher(held, window)
+                held, size = [], 0
+            held.append(part)
+            size += len(part[1]) + len(part[0])
+    yield Matcher(held, window)
+
+
 class _Ids(dict):
     def __missing__(self, word):
         return 0
@@ -155,18 +198,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     """One row per document: ``key`` (a struct of the id and the columns in ``keep``), n_words, hit_spans (word positions, end exclusive) and hit_items (sorted)."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("body")).where("body is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("body") + F.octet_length("item")), F.lit(0)).alias("b")).first()["b"]
-    pieces = max(1, math.ceil(size / max_broadcast_bytes))
-    out = docs.select(F.struct(F.col(id_col).alias("id"), *[F.col(c) for c in keep or []]).alias("key"), F.col(text_col).alias("body"))
+    out = docs.select(F.struct(F.col(id_col).alias("id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep or [])]).alias("key"), F.col(text_col).cast("string").alias("body"))
     kind = out.schema["key"].dataType.simpleString()
-    for i in range(pieces):
-        part = items if pieces == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(pieces)) == i)
-        matcher = Matcher([(r["item"], r["body"].encode()) for r in part.toLocalIterator()], window)
-        last = i == pieces - 1
-        shared = _Shared(spark.sparkContext.broadcast(matcher), keep_text=not last)
-        out = out.mapInArrow(_scan(shared, merge=i > 0), f"key {kind}, " + ("" if last else "body string, ") + ADDED_DDL)
-        if not last:
+    passes = matchers(((r["item"], r["body"].encode()) for r in items.toLocalIterator()), window, max_broadcast_bytes)
+    matcher, merge = next(passes), False
+    while matcher is not None:
+        following = next(passes, None)
+        shared = _Shared(spark.sparkContext.broadcast(matcher), keep_text=following is not None)
+        out = out.mapInArrow(_scan(shared, merge=merge), f"key {kind}, " + ("body string, " if following else "") + ADDED_DDL)
+        if following is not None:
             out = cut(out)
+        matcher, merge = following, True
     return out
 
 
@@ -191,37 +233,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, action: str = "docum
     """``docs`` with all their columns: without contaminated documents (``action="documents"``), or with the hit words and what stands between them cut out of the texts (``"spans"``). Clean rows come back as they were."""
     if action not in ("documents", "spans"):
         raise ValueError(f"action: {action!r}")
-    spark, names = docs.sparkSession, docs.columns
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    pieces = max(1, math.ceil(size / MAX_BROADCAST_BYTES))
-    for i in range(pieces):
-        part = benchmark.where("text is not null")
-        part = part if pieces == 1 else part.where(F.pmod(F.xxhash64("text"), F.lit(pieces)) == i)
-        shared = spark.sparkContext.broadcast(Matcher([("", r["text"].encode()) for r in part.select("text").toLocalIterator()], window))
-
-        def run(batches, shared=shared):
-            matcher = shared.value
-            value, col = _Ids(matcher.ids).__getitem__, names.index(text_col)
-            for batch in batches:
-                texts = batch.column(col).cast(pa.binary())
-                kept, new = [], {}
-                for r in range(len(batch)):
-                    data = texts[r].as_py() or b""
-                    found = matcher.find(word_values(data, ALNUM_WORDS, value, np.int32))
-                    kept.append(not found or action == "spans")
-                    if found and action == "spans":
-                        first, last = word_offsets(data)
-                        mask = np.ones(len(data), bool)
-                        for at, n, _ in found:
-                            mask[first[at] : last[at + n - 1]] = False
-                        new[r] = np.frombuffer(data, np.uint8)[mask].tobytes().decode()
-                if new:
-                    texts = pa.array([new[r] if r in new else None if (x := texts[r].as_py()) is None else x.decode() for r in range(len(batch))], batch.schema.field(col).type)
-                    batch = pa.RecordBatch.from_arrays([texts if k == col else c for k, c in enumerate(batch.columns)], schema=batch.schema)
-                yield batch.filter(pa.array(kept, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    names, id_col = docs.columns, docs.columns[0]
+    found = scan(docs, benchmark, id_col=id_col, text_col=text_col, window=window, max_broadcast_bytes=MAX_BROADCAST_BYTES, keep=names)
+    clean = F.size("hit_spans") == 0
+    if action == "documents":
+        return found.where(clean).select(*[F.col(f"key.c{i}").alias(c) for i, c in enumerate(names)])
+    at = names.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts, spans = batch.column(at), batch.column(len(names))
+            new = []
+            for text, held in zip(texts, spans, strict=True):
+                if not len(held):
+                    new.append(text.as_py())
+                    continue
+                data = text.as_py().encode()
+                first, last = word_offsets(data)
+                mask = np.ones(len(data), bool)
+                for s in held.as_py():
+                    mask[first[s["start"]] : last[s["end"] - 1]] = False
+                new.append(np.frombuffer(data, np.uint8)[mask].tobytes().decode())
+            yield pa.RecordBatch.from_arrays([pa.array(new, texts.type) if k == at else batch.column(k) for k in range(len(names))], names=names)
+
+    rows = found.select(*[F.col(f"key.c{i}").alias(f"c{i}") for i in range(len(names))], "hit_spans")
+    return rows.mapInArrow(run, docs.schema)
 
 
 def items_digest(items: list[str]) -> str:
