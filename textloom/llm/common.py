@@ -53,6 +53,17 @@ class Memo(dict):
         return value
 
 
+def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The disjoint ranges that spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def word_chunks(data: bytes, table: bytes) -> Iterator[list[bytes]]:
     """The words of a text in lists of bounded size, cut at blanks only."""
     data = data.translate(table)

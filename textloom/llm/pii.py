@@ -8,8 +8,8 @@ alike), by penalised likelihood with exact forward-backward gradients. Documents
 decoded by Viterbi over padded numpy batches, where they lie, without a shuffle.
 
 Every kind that the CRF knows has a digit or an ``@``, or the words ``at`` and ``dot``
-in it, so only segments (lines, cut at ``SEGMENT`` tokens with an overlap) with such a
-character or pair of words are decoded; in all others no label but O is allowed. A decoded span counts
+in it, so only segments (lines, long ones in pieces, cut at ``SEGMENT`` tokens with an overlap) with
+such a character or pair of words are decoded; in all others no label but O is allowed. A decoded span counts
 if it passes its kind's check and overlaps no span of the fixed patterns; those stay.
 
 The fixed patterns are leftmost and without overlap per kind (email, ip, card, phone);
@@ -21,17 +21,19 @@ table gives an empty table; other columns play no part.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, union
 
 KINDS = ("email", "ip", "card", "phone", "national_id")
 BASE_KINDS = 4
@@ -49,6 +51,7 @@ _DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a run of digits fails from each of its places or from none
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_LINE_END = re.compile(r"\r\n|[\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029]")  # as splitlines
 _NOT_DIGIT = re.compile("[^0-9]+")
 
 
@@ -315,18 +318,31 @@ def train(sentences: int = SENTENCES, seed: int = SEED, epochs: int = 40, penalt
 
 # --- decoding documents -----------------------------------------------------------
 
-_TRIGGER = re.compile(r"[0-9@]|\b(?:at|AT)\b[\s)\]]*[^\s]+[\s(\[]*(?:dot|DOT)\b")
-_QUICK = re.compile(r"[0-9@]| dot|\(dot|\[dot| DOT")
+#: What ``valid`` asks of any kind of span, ignoring case as it does: a digit, an @, or both words of a written-out address.
+_TRIGGER = re.compile(r"[0-9@]|\bat\b[\s)\]]*[^\s]+[\s(\[]*dot\b", re.I)
+_QUICK = re.compile(r"[0-9@]|[\s(\[]dot", re.I)
+_BLANK = re.compile(r"\s")
+#: Characters of a line that are decoded at a time, and that two such pieces share.
+PIECE, SHARED = 1 << 15, 1 << 11
 
 
-def segments(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the lines that may hold a span."""
-    out, at = [], 0
-    for line in text.splitlines(keepends=True):
-        if _QUICK.search(line) and _TRIGGER.search(line):
-            out.append((at, at + len(line)))
-        at += len(line)
-    return out
+def segments(text: str) -> Iterator[tuple[int, int, bool, bool]]:
+    """(start, end, whether the line goes on before, and after) of the lines, or pieces of long lines, that may hold a span."""
+    at = 0
+    while at < len(text):
+        end = m.end() if (m := _LINE_END.search(text, at)) else len(text)
+        start = at
+        while start < end:
+            stop = min(end, start + PIECE)
+            if stop < end:
+                stop = gap.start() if (gap := _BLANK.search(text, stop, min(end, stop + SHARED // 2))) else stop
+            line = text[start:stop]
+            if _QUICK.search(line) and _TRIGGER.search(line):
+                yield start, stop, start > at, stop < end
+            if stop == end:
+                break
+            start = gap.start() if (gap := _BLANK.search(text, stop - SHARED, stop)) else stop - SHARED
+        at = end
 
 
 def valid(kind: int, text: str) -> bool:
@@ -356,16 +372,16 @@ class Decoder:
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         jobs = []
         for r, text in enumerate(texts):
-            for s, e in segments(text) if _QUICK.search(text) else ():
+            for s, e, before, after in segments(text) if _QUICK.search(text) else ():
                 toks, starts, ends = tokens(text[s:e])
                 shapes, spaced = _encode(toks, starts, ends, self.shapes.__getitem__)
                 for a in range(0, max(1, len(toks) - OVERLAP), SEGMENT - OVERLAP):
                     b = min(len(toks), a + SEGMENT)
                     if ((shapes[a:b] <= 9) | (shapes[a:b] == 30) | (shapes[a:b] == 11)).any():
-                        jobs.append((b - a, r, s + starts[a:b], s + ends[a:b], shapes[a:b], spaced[a:b], a > 0, b < len(toks)))
-            if len(jobs) >= 512:
-                self._run(jobs, texts, out)
-                jobs = []
+                        jobs.append((b - a, r, s + starts[a:b], s + ends[a:b], shapes[a:b], spaced[a:b], before or a > 0, after or b < len(toks)))
+                if len(jobs) >= 512:
+                    self._run(jobs, texts, out)
+                    jobs = []
         self._run(jobs, texts, out)
         return [sorted(set(x)) for x in out]
 
@@ -400,11 +416,13 @@ def found(texts: list[str], decoder: Decoder) -> list[tuple[list, list]]:
     out = []
     for text, more in zip(texts, decoder.spans(texts), strict=True):
         base = base_spans(text)
-        taken, new = sorted((s, e) for _, s, e in base), []
+        taken = union([(s, e) for _, s, e in base])
+        starts, new, last = [s for s, _ in taken], [], 0
         for kind, s, e in sorted(more, key=lambda x: (x[1], -x[2])):
-            if not any(a < e and s < b for a, b in taken):
+            near = bisect.bisect_left(starts, e) - 1  # the last fixed span that starts before this one ends
+            if s >= last and (near < 0 or taken[near][1] <= s):
                 new.append((kind, s, e))
-                taken.append((s, e))
+                last = e
         out.append((base, sorted(base + new)))
     return out
 
@@ -414,25 +432,26 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (all of them, those of the method too)."""
     shared = docs.sparkSession.sparkContext.broadcast(field or train())  # 2 ** HASH_BITS x LABELS numbers
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
 
     def run(batches):
         decoder = Decoder(shared.value)
         for batch in batches:
-            base_text, all_text, counts = [], [], [[] for _ in range(BASE_KINDS)]
+            base_text, all_text, all_count, counts = [], [], [], [[] for _ in range(BASE_KINDS)]
             texts = batch.column(1)
-            for at in range(0, len(texts), 500):
-                for base, every in found([x or "" for x in texts.slice(at, 500).to_pylist()], decoder):
+            for at in range(0, len(texts), 100):
+                for base, every in found([x or "" for x in texts.slice(at, 100).to_pylist()], decoder):
                     for k in range(BASE_KINDS):
                         counts[k].append(sum(1 for x in base if x[0] == k))
                     base_text.append(hashlib.sha256(joined(base).encode()).hexdigest())
                     all_text.append(joined(every))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(base_text, pa.string()), pa.array(all_text, pa.string())], names=["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                    all_count.append(len(every))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(base_text, pa.string()), pa.array(all_text, pa.string()), pa.array(all_count, pa.int64())], names=["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(run, f"id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint").withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", field: Field | None = None) -> DataFrame:
