@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -624,3 +625,48 @@ def test_decontaminate(spark):
     assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).orderBy("doc_id").collect()] == [2, 3]
     spans = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, items, action="spans").collect()}
     assert spans == {1: "Start here. ! The end.", 2: "clean text", 3: None}
+
+
+def test_spans_are_cut_alike_in_any_number_of_passes(spark, monkeypatch):
+    """Two overlapping items in different pieces; an item that is larger than a piece; a tail behind the last cut."""
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i j k l m y"), (2, "x " + " ".join(f"w{i}" for i in range(15, 60)) + " y"), (3, "w0 w1 w2 w3 w4 w5 w6 w7 w8")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "d e f g h i j k l m"), (3, " ".join(f"w{i}" for i in range(100)) + " " * 50)], "item_id long, text string")
+    for limit in (1 << 20, 70, 25, 5):
+        monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", limit)
+        out = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, items, action="spans").collect()}
+        assert out == {1: "x  y", 2: "x  y", 3: "w0 w1 w2 w3 w4 w5 w6 w7 w8"}
+        report = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, items, max_broadcast_bytes=limit).collect()}
+        assert report == {1: (13, 2), 2: (45, 1), 3: (0, 0)}
+    pieces = list(decontaminate.matchers([("i", b" ".join(b"w%d" % i for i in range(100)))], 10, 70))
+    assert len(pieces) > 3 and sum(len(m.tables[10][0]) for m in pieces) == 91 and all(set(m.tables) == {10} for m in pieces)
+
+
+def test_private_data_in_long_lines():
+    """One line without ends, longer than a piece: the fixed spans as they are, the decoded ones as in short lines; time in proportion to length."""
+    decoder = pii.Decoder(pii.train())
+    unit = "please write to anna at example dot com or call 555 123 4567 about it, and then read on for a while. "
+    (short,) = decoder.spans([unit])
+    (long,) = decoder.spans([unit * 2000])
+    assert short and long == sorted((k, s + i * len(unit), e + i * len(unit)) for i in range(2000) for k, s, e in short)
+    took = []
+    for n in (1000, 4000):
+        began = time.time()
+        (base, every), = pii.found([f"call +1 (555) 123-4567 or mail a{7}@x.org\n" * n], decoder)
+        took.append(time.time() - began)
+        assert len(base) == 2 * n <= len(every)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_private_data_counts_all_spans(docs):
+    for r in pii.report(docs).collect():
+        assert r["n_spans"] == (r["spans"].count(",") + 1 if r["spans"] else 0) >= r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"]
+
+
+def test_runs_beside_base_spans_count_once(spark):
+    """A run that a base span touches is no span of its own; one between two base spans is."""
+    r = random.Random(5)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    texts = [(i, f"token={key(40)} and {key(40)} and secret: {key(30)}") for i in range(40)]
+    for row in secret_scan.report(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        spans = [tuple(map(int, x.split(":")[1:])) for x in row["spans"].split(",")]
+        assert all(a[1] <= b[0] for a, b in itertools.pairwise(spans)) and row["n_assign"] == 2 and len(spans) == 3

@@ -26,6 +26,7 @@ table gives an empty table; other columns play no part.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, union
 
 FDR = 0.01
 MIN_RUN = 20
@@ -144,9 +145,9 @@ def candidates(text: str) -> list[tuple[int, int, str, float]]:
 
 
 TYPE = "array<struct<s:int,k:int,e:int>>"
-CAND = "array<struct<s:int,e:int,c:string,w:double>>"
+CAND = "array<struct<s:int,e:int,c:string,w:double,f:boolean>>"
 _BASE_PA = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
-_CAND_PA = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("c", pa.string()), ("w", pa.float64())]))
+_CAND_PA = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("c", pa.string()), ("w", pa.float64()), ("f", pa.bool_())]))
 
 
 def _find(batches):
@@ -154,8 +155,13 @@ def _find(batches):
         base, cand = [], []
         for x in batch.column(1):
             text = x.as_py() or ""
-            base.append([{"s": s, "k": k, "e": e} for s, k, e in base_spans(text)])
-            cand.append([{"s": s, "e": e, "c": c, "w": w} for s, e, c, w in candidates(text)])
+            own = base_spans(text)
+            held = union([(s, e) for s, _, e in own])
+            starts = [s for s, _ in held]
+            # A run is free if the last base range that starts before its end ends before its start.
+            free = lambda s, e, held=held, starts=starts: (k := bisect.bisect_left(starts, e)) == 0 or held[k - 1][1] <= s
+            base.append([{"s": s, "k": k, "e": e} for s, k, e in own])
+            cand.append([{"s": s, "e": e, "c": c, "w": w, "f": free(s, e)} for s, e, c, w in candidates(text)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, _BASE_PA), pa.array(cand, _CAND_PA)], names=["key", "base", "cand"])
 
 
@@ -179,7 +185,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kee
     found = cut(found.mapInArrow(_find, f"key {found.schema['key'].dataType.simpleString()}, base {TYPE}, cand {CAND}"))
     least = thresholds(found, fdr)
     limits = F.create_map(*[F.lit(x) for kv in least.items() for x in kv]) if least else F.lit(None).cast("map<string,double>")
-    new = F.filter("cand", lambda x: (x["w"] >= F.coalesce(F.try_element_at(limits, x["c"]), F.lit(math.inf))) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    new = F.filter("cand", lambda x: (x["w"] >= F.coalesce(F.try_element_at(limits, x["c"]), F.lit(math.inf))) & x["f"])
     new = F.transform(new, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e")))
     return found.select("key", "base", F.array_sort(F.concat("base", new)).alias("all"))
 
@@ -226,14 +232,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
 
 def found_spans(text: str, least: dict[str, float]) -> list[tuple[int, int]]:
     """Disjoint spans of all kinds, in order."""
-    spans = sorted([(s, e) for s, _, e in base_spans(text)] + [(s, e) for s, e, c, w in candidates(text) if w >= least.get(c, math.inf)])
-    out: list[tuple[int, int]] = []
-    for s, e in spans:
-        if out and s < out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+    return union([(s, e) for s, _, e in base_spans(text)] + [(s, e) for s, e, c, w in candidates(text) if w >= least.get(c, math.inf)])
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:
