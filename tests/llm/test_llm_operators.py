@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from textloom.llm import decontaminate, language_id, license_scan, nearest, ngram_join, packing, pii, secret_scan, sharding, token_counts
+from textloom.llm import decontaminate, language_id, license_scan, nearest, ngram_join, packing, pii, registry, secret_scan, sharding, token_counts
 
 EXTRA = "id long, body string, key string, row int, n long, node long, keys string, size long, found string, base string, score double"
 LONG = "Lorem ipsum dolor " * 60_000
@@ -670,3 +671,37 @@ def test_runs_beside_base_spans_count_once(spark):
     for row in secret_scan.report(spark.createDataFrame(texts, "doc_id long, text string")).collect():
         spans = [tuple(map(int, x.split(":")[1:])) for x in row["spans"].split(",")]
         assert all(a[1] <= b[0] for a, b in itertools.pairwise(spans)) and row["n_assign"] == 2 and len(spans) == 3
+
+
+def test_language_by_brute_force(docs, texts):
+    """Votes, correction and decision of every text, one n-gram and one language at a time, on the learned filters."""
+    model = language_id.train(docs)
+    bits = [{h for h in range(1 << model.bits) if model.planes[k // 8][h] >> (k % 8) & 1} for k in range(len(model.languages))]
+    chance = [(len(b) / (1 << model.bits)) ** language_id.HASHES for b in bits]
+    for r in language_id.identify(docs).collect():
+        text = texts[r["doc_id"]]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        data = b"  " + bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode()) + b" "
+        held, n = [0] * len(bits), len(data) - 3
+        for i in range(n):
+            gram = int.from_bytes(data[i : i + 4], "big")
+            slots = [(gram * int(m) & (1 << 64) - 1) >> (64 - model.bits) for m in language_id.MIX[: language_id.HASHES]]
+            for k, b in enumerate(bits):
+                held[k] += all(x in b for x in slots)
+        true = [max(0.0, (v - n * c) / (1 - c)) for v, c in zip(held, chance, strict=True)]
+        best = max(range(len(true)), key=lambda k: (true[k], -k)) if sum(true) else model.prior
+        assert r["lang_pred"] == model.languages[best] and abs(r["score"] - (true[best] / sum(true) if sum(true) else 0)) < 1e-9
+
+
+@pytest.mark.parametrize("name", list(registry.ORACLES))
+def test_query_is_its_sql(spark, data, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
+    want = con.sql(registry.ORACLES[name])
+    rows = registry.QUERIES[name](spark, data)
+    assert sorted(rows.columns) == sorted(want.columns)
+    assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in rows.collect()))) == sorted(map(str, want.fetchall()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.operators.graph import shared_dir as checkpoint_dir  # noqa: F401
@@ -64,6 +65,16 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def text_parts(column, most: int = 1 << 22) -> Iterator[list]:
+    """The values of a column of texts in lists of about ``most`` bytes, so that a batch of long texts isn't held twice."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield column.slice(at, end - at).to_pylist()
+        at = end
+
+
 def word_chunks(data: bytes, table: bytes) -> Iterator[list[bytes]]:
     """The words of a text in lists of bounded size, cut at blanks only."""
     data = data.translate(table)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_parts
 
 SAMPLE_DOCS = 2_000
 MIN_RATIO, MIN_SHARE, MIN_COUNT = 0.5, 5e-6, 2
@@ -167,6 +167,15 @@ def texts_decided(model: Filters, texts: list[str | None]) -> tuple[list[str], l
     return pred, score
 
 
+def _decided(model: Filters, column) -> tuple[list[str], list[float]]:
+    pred, score = [], []
+    for texts in text_parts(column):
+        names, scores = texts_decided(model, texts)
+        pred += names
+        score += scores
+    return pred, score
+
+
 def predict(docs: DataFrame, model: Filters, *, text_col: str = "text") -> DataFrame:
     """``docs`` as struct ``row``, with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 12 slots for each of at most 1 / MIN_SHARE n-grams
@@ -175,7 +184,7 @@ def predict(docs: DataFrame, model: Filters, *, text_col: str = "text") -> DataF
 
     def run(batches):
         for batch in batches:
-            pred, score = texts_decided(shared.value, batch.column(1).to_pylist())
+            pred, score = _decided(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
     return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
@@ -195,7 +204,7 @@ def keep_identified(docs: DataFrame, *, text_col: str = "text", sample_docs: int
 
     def run(batches):
         for batch in batches:
-            pred, score = texts_decided(shared.value, batch.column(at).to_pylist())
+            pred, score = _decided(shared.value, batch.column(at))
             yield batch.filter(pa.array([p != "und" and s > 0 for p, s in zip(pred, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

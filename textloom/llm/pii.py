@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, union
+from .common import Memo, text_parts, union
 
 KINDS = ("email", "ip", "card", "phone", "national_id")
 BASE_KINDS = 4
@@ -441,8 +441,8 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
         for batch in batches:
             base_text, all_text, all_count, counts = [], [], [], [[] for _ in range(BASE_KINDS)]
             texts = batch.column(1)
-            for at in range(0, len(texts), 100):
-                for base, every in found([x or "" for x in texts.slice(at, 100).to_pylist()], decoder):
+            for part in text_parts(texts, 1 << 19):
+                for base, every in found([x or "" for x in part], decoder):
                     for k in range(BASE_KINDS):
                         counts[k].append(sum(1 for x in base if x[0] == k))
                     base_text.append(hashlib.sha256(joined(base).encode()).hexdigest())
@@ -461,15 +461,15 @@ def redact(docs: DataFrame, *, text_col: str = "text", field: Field | None = Non
     def run(batches):
         decoder = Decoder(shared.value)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
             new = []
-            for text, (_, spans) in zip(texts, found([x or "" for x in texts], decoder), strict=True):
-                last, parts = 0, []
-                for k, s, e in sorted(spans, key=lambda x: x[1:]):
-                    if s >= last:
-                        parts += [text[last:s], f"[{KINDS[k].upper()}]"]
-                        last = e
-                new.append("".join(parts) + text[last:] if parts else text)
+            for part in text_parts(batch.column(at), 1 << 19):
+                for text, (_, spans) in zip(part, found([x or "" for x in part], decoder), strict=True):
+                    last, parts = 0, []
+                    for k, s, e in sorted(spans, key=lambda x: x[1:]):
+                        if s >= last:
+                            parts += [text[last:s], f"[{KINDS[k].upper()}]"]
+                            last = e
+                    new.append("".join(parts) + text[last:] if parts else text)
             cols = [pa.array(new, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 

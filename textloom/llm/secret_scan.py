@@ -210,8 +210,9 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
 
     def run(batches):
         for batch in batches:
-            texts, changed = batch.column(at).to_pylist(), {}
-            for r, text in enumerate(texts):
+            texts, changed = batch.column(at), {}
+            for r, x in enumerate(texts):
+                text = x.as_py()
                 if text and (spans := found_spans(text, least)):
                     parts, last = [], 0
                     for s, e in spans:
@@ -220,7 +221,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
                     changed[r] = "".join(parts) + text[last:]
             if changed:
                 cols = list(batch.columns)
-                cols[at] = pa.array([changed.get(r, t) for r, t in enumerate(texts)], batch.schema.field(at).type)
+                cols[at] = pa.array([changed[r] if r in changed else t.as_py() for r, t in enumerate(texts)], batch.schema.field(at).type)
                 if length_at is not None:
                     old = cols[length_at].to_pylist()
                     cols[length_at] = pa.array([len(changed[r]) if r in changed else x for r, x in enumerate(old)], batch.schema.field(length_at).type)
