@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import articles, corpus, dataprep, evidence, metrics, pages
+from ..operators import articles, corpus, dataprep, evidence, manifests, metrics, pages, selection
 from ..operators.graph import written
 from .queries import (
     Q_BUCKET, Q_DOT, Q_PROBABLE, Q_RELEVANCE, Q_SCORED, Q_SENTENCES, Q_SIGNAL, _q_url, _stamp, probable, q_collapse, q_cosine, q_cut, q_lit, q_prob, q_wilson, query, records, sentence_rows, table,
@@ -209,10 +209,21 @@ def _(spark, sf):
     return probable(spark, sf).where(decide(F.col("p")).isin("clear_bias", "possible_bias")).select("doc_id", "pos")
 
 
-@query("d02_threshold_gates", f"WITH {Q_PROBABLE} SELECT doc_id, pos, array_to_string(list_filter([CASE WHEN p < 0.6 THEN 'below_bias_threshold' END, CASE WHEN abs(p - 0.5) * 2 < 0.3 THEN 'low_margin' END, CASE WHEN p_style < 0.4 THEN 'below_style_threshold' END], lambda x: x IS NOT NULL), ',') AS failures FROM prob")
+_LABELS = "CASE WHEN p >= 0.5 THEN 'Biased' ELSE 'Non-biased' END AS bl, CASE WHEN p_style >= 0.45 THEN 'tinted' ELSE 'Entirely factual' END AS ol"
+
+
+@query("d02_threshold_gates", f"""WITH {Q_PROBABLE}, l AS (SELECT doc_id, pos, p, p_style, {_LABELS} FROM prob), g AS (SELECT *, bl = 'Biased' AND p >= 0.6 AS bias_ok, ol = 'tinted' AND 1 - (1 - p_style) >= 0.5 AS opinion_ok, greatest(p, 1 - (1 - p_style)) AS score FROM l),
+f AS (SELECT *, CASE WHEN bl = 'Biased' AND NOT bias_ok THEN 'bias_below_threshold' END AS f1, CASE WHEN ol = 'tinted' AND NOT opinion_ok THEN 'opinion_below_threshold' END AS f2, CASE WHEN bl <> 'Biased' AND ol <> 'tinted' THEN 'no_positive_label' END AS f3 FROM g)
+SELECT 'heads' AS mode, doc_id, pos, bias_ok OR opinion_ok AS selected, array_to_string(list_filter([CASE WHEN bias_ok THEN 'bias_threshold_met' END, CASE WHEN opinion_ok THEN 'opinion_threshold_met' END], lambda x: x IS NOT NULL), ',') AS reasons, CASE WHEN bias_ok OR opinion_ok THEN '' ELSE array_to_string(list_filter([f1, f2, f3], lambda x: x IS NOT NULL), ',') END AS abstained FROM f
+UNION ALL SELECT 'report', doc_id, pos, f3 IS NULL AND score >= 0.7, CASE WHEN f3 IS NULL AND score >= 0.7 THEN 'report_trigger_threshold_met' ELSE '' END, CASE WHEN f3 IS NULL AND score >= 0.7 THEN '' ELSE array_to_string(list_filter([f1, f2, f3, CASE WHEN f3 IS NULL THEN 'report_trigger_below_threshold' END], lambda x: x IS NOT NULL), ',') END FROM f
+UNION ALL SELECT 'labels', doc_id, pos, f3 IS NULL, array_to_string(list_filter([CASE WHEN bl = 'Biased' THEN 'bias_argmax' END, CASE WHEN ol = 'tinted' THEN 'opinion_argmax' END], lambda x: x IS NOT NULL), ','), coalesce(f3, '') FROM f""")
 def _(spark, sf):
-    f = F.filter(F.array(F.when(F.col("p") < 0.6, "below_bias_threshold"), F.when(F.abs(F.col("p") - 0.5) * 2 < 0.3, "low_margin"), F.when(F.col("p_style") < 0.4, "below_style_threshold")), lambda x: x.isNotNull())
-    return probable(spark, sf).select("doc_id", "pos", F.array_join(f, ",").alias("failures"))
+    rows = probable(spark, sf).selectExpr("doc_id", "pos", "p", "p_style", *[x.strip() for x in _LABELS.split(", ")])
+    labels = [F.col("bl"), F.col("ol")]
+    scores, gates = [F.col("p"), 1 - F.col("p_style")], {"bias": selection.Gate(True, 0.6), "opinion": selection.Gate(True, 0.5)}
+    modes = {"heads": selection.by_thresholds(*labels, *scores, **gates), "report": selection.by_thresholds(*labels, *scores, **gates, report=selection.Gate(True, 0.7)), "labels": selection.by_labels(*labels)}
+    each = rows.select("doc_id", "pos", F.explode(F.array(*[F.struct(F.lit(k).alias("mode"), v["selected"].alias("selected"), F.array_join(v["reasons"], ",").alias("reasons"), F.array_join(v["abstained"], ",").alias("abstained")) for k, v in modes.items()])).alias("x"))
+    return each.select("doc_id", "pos", "x.*")
 
 
 @query("a06_abstention", f"WITH {Q_PROBABLE}, f AS (SELECT p >= 0.8 AS selected, unnest(list_filter([CASE WHEN p < 0.6 THEN 'below_bias_threshold' END, CASE WHEN p_style < 0.4 THEN 'below_style_threshold' END], lambda x: x IS NOT NULL)) AS reason FROM prob) SELECT selected, reason, count(*) AS n FROM f GROUP BY ALL")
@@ -579,9 +590,18 @@ def _(spark, sf):
     return d.groupBy("source").agg(F.countDistinct("partition").alias("partitions")).where("partitions > 1")
 
 
-@query("v03_manifest_rules", r"SELECT page_id, unnest(list_filter([CASE WHEN NOT starts_with(url, 'https://') THEN 'url must be https' END, CASE WHEN length(html) <= 2000 THEN 'body too short' END], lambda x: x IS NOT NULL)) AS rule FROM pages")
+@query("v03_manifest_rules", f"""SELECT page_id, unnest(list_filter([CASE WHEN canonical IS NULL THEN 'canonical_url must be canonical HTTPS' END, CASE WHEN page_id > min(page_id) OVER (PARTITION BY canonical) AND canonical IS NOT NULL THEN 'canonical_url is duplicated' END,
+CASE WHEN page_id % 7 = 3 THEN 'status is unsupported' END, CASE WHEN page_id % 5 = 0 THEN 'fetched_at must be ISO-8601 or null' END, CASE WHEN page_id % 5 = 0 AND page_id % 7 < 2 THEN 'fetched_at is required when approved' END, CASE WHEN page_id % 7 < 2 AND page_id % 4 = 1 THEN 'rights_review.status must be approved' END], lambda x: x IS NOT NULL)) AS rule
+FROM (SELECT page_id, CASE WHEN scheme = 'https' AND host <> '' AND NOT contains(u.auth, '@') THEN {_Q_BUILT} END AS canonical FROM {_q_url(U.DOCUMENT_TRACKING)})""")
 def _(spark, sf):
-    return corpus.violations(table(spark, sf, "pages"), "page_id", {"url must be https": F.startswith("url", F.lit("https://")), "body too short": F.char_length("html") > 2000})
+    """Pages as a manifest's documents, some of them with an odd status, date or review."""
+    n = F.col("page_id")
+    status = F.element_at(F.array(*map(F.lit, ["approved", "active", "candidate", "odd", "expired", "pending_fetch", "pending_review"])), (n % 7 + 1).cast("int"))
+    text = {c: F.lit("x") for c in ("source_id", "title", "extraction_version")} | {"canonical_document_id": n.cast("string"), "canonical_url": F.col("url"), "status": status, "content_hash": T.content_hash(F.col("html")), "archive_hash": F.sha2("html", 256), "published_at": F.lit(None).cast("string")}
+    text |= {"fetched_at": F.when(n % 5 == 0, "soon").otherwise("2024-01-02T03:04:05Z"), "refresh_after": F.lit("2024-03-01"), "retention_until": F.lit("2025-03-01")}
+    rights = F.struct(F.when(n % 4 == 1, "open").otherwise("approved").alias("status"), F.lit("r").alias("reviewer"), F.lit("d").alias("reviewed_at"), F.lit(False).alias("third_party_marked"))
+    rows = table(spark, sf, "pages").select(n.alias("position"), *[c.alias(k) for k, c in text.items()], F.lit(2).alias("expected_point_count"), F.struct(F.lit("l").alias("id"), F.lit("u").alias("url")).alias("rights_basis"), rights.alias("rights_review"))
+    return manifests.document_errors(rows).withColumnRenamed("position", "page_id")
 
 
 # --- pages ---
