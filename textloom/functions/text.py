@@ -178,7 +178,7 @@ def is_prose(c: Column) -> Column:
     return ((words >= 12) & (F.char_length(c) >= 80)) | ((words >= 6) & ends & F.substring(c, F.lit(2), F.char_length(c)).rlike(r"\p{Ll}"))
 
 
-def _let(value: Column, of) -> Column:
+def let(value: Column, of) -> Column:
     """``of(value)`` with the value computed once: inlined into a lambda, it would be computed again for each element."""
     return F.transform(F.array(value), of)[0]
 
@@ -222,7 +222,7 @@ def chunk_words(c: Column, size: int = 350, overlap: int = 50) -> Column:
 
         return F.when(n == 0, empty).otherwise(F.transform(F.sequence(F.lit(0), last), window))
 
-    return _let(F.filter(F.split(collapse(c), " "), lambda w: w != ""), windows)
+    return let(F.filter(F.split(collapse(c), " "), lambda w: w != ""), windows)
 
 
 # --- Ids ---

@@ -39,10 +39,10 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", status.alias("status"), F.substring(F.trim("text"), 1, 280).alias("claim"), F.substring(F.concat(F.lit("id-"), F.col("doc_id"), F.lit("-0123456789abcdef")), 1, 16).alias("id"))
 
 
-@query("t43_prompts", f"WITH {Q_SENTENCES} SELECT doc_id, 'Review these sentences:' || chr(10) || array_to_string(list('[' || pos || '] ' || sentence ORDER BY pos), chr(10)) AS prompt FROM sents WHERE pos < 5 GROUP BY doc_id")
+@query("t43_prompts", f"WITH {Q_SENTENCES} SELECT doc_id, 'Review these sentences:' || chr(10) || array_to_string(list('[' || pos || '] ' || sentence ORDER BY pos), chr(10)) AS prompt FROM sents GROUP BY doc_id")
 def _(spark, sf):
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: F.concat(F.lit("["), x["pos"], F.lit("] "), x["sentence"]))
-    return sentence_rows(spark, sf).where("pos < 5").groupBy("doc_id").agg(F.concat(F.lit("Review these sentences:\n"), F.array_join(lines, "\n")).alias("prompt"))
+    return sentence_rows(spark, sf).groupBy("doc_id").agg(F.concat(F.lit("Review these sentences:\n"), F.array_join(lines, "\n")).alias("prompt"))
 
 
 @query("t45_point_to_evidence", f"SELECT page_id, url, snippet, 'Untitled' AS title, host AS domain FROM (SELECT p.page_id, {_Q_BUILT} AS url, host, scheme, u, substr({q_collapse('html')}, 1, 200) AS snippet FROM {_q_url(U.DOCUMENT_TRACKING)} p JOIN (SELECT page_id, html FROM pages) USING (page_id)) WHERE scheme = 'https' AND host <> '' AND NOT contains(u.auth, '@') AND snippet <> ''")

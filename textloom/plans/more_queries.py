@@ -361,11 +361,11 @@ def _(spark, sf):
     return neighbours(spark, sf, 5).select("query_id", "rank", "id")
 
 
-@query("j09_best_chunk", f"SELECT doc, claim_id, arg_max(idx, {{'s': s, 'i': -idx}}) AS idx, max(s) AS score FROM (SELECT a.label AS doc, a.vec_id AS claim_id, b.vec_id AS idx, round({q_cosine('a.embedding', 'b.embedding')}, 9) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0) GROUP BY ALL")
+@query("j09_best_chunk", f"SELECT doc, claim_id, arg_max(idx, {{'s': s, 'i': -idx}}) AS idx, max(s) AS score FROM (SELECT a.label AS doc, a.vec_id AS claim_id, b.vec_id AS idx, round({q_cosine('a.embedding', 'b.embedding')}, 9) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id) GROUP BY ALL")
 def _(spark, sf):
     e = table(spark, sf, "embeddings")
     claims = e.where("vec_id % 20 = 0").select(F.col("label").alias("doc"), F.col("vec_id").alias("claim_id"), F.col("embedding").alias("cv"))
-    return evidence.best_chunk(claims, e.where("vec_id % 20 <> 0").select(F.col("label").alias("doc"), F.col("vec_id").alias("idx"), F.col("embedding").alias("v")))
+    return evidence.best_chunk(claims, e.select(F.col("label").alias("doc"), F.col("vec_id").alias("idx"), F.col("embedding").alias("v")), apart=True)
 
 
 @query("a21_recall", f"WITH {Q_NEAR}, f AS (SELECT query_id, min(rank) FILTER (relevant) AS first FROM ranked WHERE rank <= 10 GROUP BY query_id) SELECT " + ", ".join(f"round(avg(coalesce((first <= {k})::int, 0)), 9) AS recall_at_{k}" for k in (1, 3, 5, 10)) + " FROM f")
@@ -543,12 +543,18 @@ def _(spark, sf):
 
 
 def versions(spark, sf):
-    d = table(spark, sf, "documents")
-    row = lambda df, tag: df.select(F.concat(F.lit(tag), "doc_id").alias("point_id"), F.col("doc_id").alias("document_id"), T.content_hash(F.concat("text", F.when(F.col("doc_id") % 5 == 0, F.lit(tag)).otherwise(""))).alias("content_hash"))
-    return row(d.where("doc_id % 3 <> 0"), "a"), row(d.where("doc_id % 2 = 0"), "b")
+    """All documents twice: as they are, and with every fifth changed and every third under a new id."""
+    d, n = table(spark, sf, "documents"), F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    old = d.select(F.concat(F.lit("a"), n).alias("point_id"), n.alias("document_id"), T.content_hash(text).alias("content_hash"))
+    changed = (n % 5 == 0) | (n % 3 == 0)
+    new = d.select(F.concat(F.lit("b"), n).alias("point_id"), (n + F.when(n % 3 == 0, 10**9).otherwise(0)).alias("document_id"), T.content_hash(F.concat(text, F.when(changed, F.concat(F.lit("b"), n)).otherwise(""))).alias("content_hash"))
+    return old, new
 
 
-Q_VERSIONS = f"a AS (SELECT 'a' || doc_id AS point_id, doc_id AS document_id, sha256({q_collapse('text || CASE WHEN doc_id % 5 = 0 THEN ' + chr(39) + 'a' + chr(39) + ' ELSE ' + chr(39) * 2 + ' END')}) AS content_hash FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT 'b' || doc_id AS point_id, doc_id AS document_id, sha256({q_collapse('text || CASE WHEN doc_id % 5 = 0 THEN ' + chr(39) + 'b' + chr(39) + ' ELSE ' + chr(39) * 2 + ' END')}) AS content_hash FROM documents WHERE doc_id % 2 = 0), fresh AS (SELECT * FROM b WHERE content_hash NOT IN (SELECT content_hash FROM a))"
+_Q_CHANGED = "coalesce(text, '') || CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'b' || doc_id ELSE '' END"
+_Q_TEXT = "coalesce(text, '')"
+Q_VERSIONS = f"a AS (SELECT 'a' || doc_id AS point_id, doc_id AS document_id, sha256({q_collapse(_Q_TEXT)}) AS content_hash FROM documents), b AS (SELECT 'b' || doc_id AS point_id, doc_id + CASE WHEN doc_id % 3 = 0 THEN 1000000000 ELSE 0 END AS document_id, sha256({q_collapse(_Q_CHANGED)}) AS content_hash FROM documents), fresh AS (SELECT * FROM b WHERE content_hash NOT IN (SELECT content_hash FROM a))"
 
 
 @query("s17_upsert", f"WITH {Q_VERSIONS} SELECT point_id FROM a WHERE document_id NOT IN (SELECT document_id FROM fresh) UNION ALL SELECT point_id FROM fresh")
@@ -561,12 +567,17 @@ def _(spark, sf):
     return corpus.upsert_status(*versions(spark, sf)).select("document_id", "status")
 
 
-@query("s16_staging_plan", "SELECT content_hash, CASE WHEN lo <> hi OR (held IS NOT NULL AND held <> lo) THEN 'collision' WHEN held IS NULL THEN 'write' ELSE 'same' END AS action FROM (SELECT sha256((doc_id % 97)::varchar) AS content_hash, min(sha256((doc_id % 194)::varchar)) AS lo, max(sha256((doc_id % 194)::varchar)) AS hi FROM documents WHERE doc_id % 4 = 0 GROUP BY 1) LEFT JOIN (SELECT sha256((doc_id % 97)::varchar) AS content_hash, min(sha256((doc_id % 194)::varchar)) AS held FROM documents WHERE doc_id % 7 = 0 GROUP BY 1) USING (content_hash)")
+_Q_ADDRESS = "coalesce(text, '') || CASE WHEN doc_id % 4 = 1 THEN '!' || doc_id ELSE '' END"
+
+
+@query("s16_staging_plan", f"SELECT content_hash, CASE WHEN lo <> hi OR (held IS NOT NULL AND held <> lo) THEN 'collision' WHEN held IS NULL THEN 'write' ELSE 'same' END AS action FROM (SELECT sha256({q_collapse(_Q_ADDRESS)}) AS content_hash, min(sha256({_Q_TEXT})) AS lo, max(sha256({_Q_TEXT})) AS hi FROM documents GROUP BY 1) LEFT JOIN (SELECT sha256({q_collapse(_Q_TEXT)}) AS content_hash, min(sha256({_Q_TEXT} || CASE WHEN doc_id % 7 = 0 THEN '?' ELSE '' END)) AS held FROM documents GROUP BY 1) USING (content_hash)")
 def _(spark, sf):
-    d = table(spark, sf, "documents")
-    h = lambda m: F.sha2((F.col("doc_id") % m).cast("string"), 256)
-    rows = lambda df: df.select(h(97).alias("content_hash"), h(194).alias("archive_hash"))
-    return corpus.staging_plan(rows(d.where("doc_id % 4 = 0")), rows(d.where("doc_id % 7 = 0")))
+    """All texts to stage against all texts staged: every fourth has a new address, every seventh other bytes."""
+    d, n = table(spark, sf, "documents"), F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    new = d.select(T.content_hash(F.concat(text, F.when(n % 4 == 1, F.concat(F.lit("!"), n)).otherwise(""))).alias("content_hash"), F.sha2(text, 256).alias("archive_hash"))
+    staged = d.select(T.content_hash(text).alias("content_hash"), F.sha2(F.concat(text, F.when(n % 7 == 0, "?").otherwise("")), 256).alias("archive_hash"))
+    return corpus.staging_plan(new, staged)
 
 
 @query("d11_expiry_plan", "SELECT event_id, ts + INTERVAL 30 DAY <= TIMESTAMP '2024-02-10' AS expire FROM events")
@@ -617,7 +628,8 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", pages.title(F.col("html")).alias("title"))
 
 
-@query("h05_locate", f"WITH {Q_SENTENCES}, t AS (SELECT doc_id, lower({q_collapse('text')}) AS t FROM documents), s AS (SELECT doc_id, pos, substr(lower({q_collapse('sentence')}), 1, 240) AS n FROM sents WHERE pos = 0) SELECT doc_id, CASE WHEN length(n) >= 12 THEN ((length(t) - length(replace(t, n, ''))) / length(n))::int ELSE 0 END AS hits FROM s JOIN t USING (doc_id)")
+@query("h05_locate", f"WITH {Q_SENTENCES}, t AS (SELECT doc_id, lower({q_collapse('text')}) AS t FROM documents), s AS (SELECT doc_id, pos, substr(lower({q_collapse('sentence')}), 1, 240) AS n FROM sents) SELECT doc_id, pos, CASE WHEN length(n) >= 12 THEN ((length(t) - length(replace(t, n, ''))) / length(n))::int ELSE 0 END AS hits FROM s JOIN t USING (doc_id)")
 def _(spark, sf):
-    rows = sentence_rows(spark, sf).where("pos = 0").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return rows.select("doc_id", pages.locate(F.col("text"), F.col("sentence")).alias("hits"))
+    """Every sentence in its own text; a text's sentences are looked up in one row, so the text isn't repeated for each."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.posexplode(pages.locate_all(F.col("text"), T.paragraph_sentences(F.col("text")))).alias("pos", "hits"))

@@ -311,9 +311,9 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.mime_type(raw).alias("mime"), T.charset(raw).alias("charset"))
 
 
-@query("t32_sigmoid_softmax", "SELECT doc_id, round(1 / (1 + exp(-(n_chars / 1000.0 - 2) / 1.5)), 9) AS p, round(exp(1.0) / (exp(1.0) + exp(n_chars / 5000.0)), 9) AS first FROM documents WHERE n_chars < 100000")
+@query("t32_sigmoid_softmax", "SELECT doc_id, round(CASE WHEN x >= 0 THEN 1 / (1 + exp(-x)) ELSE exp(x) / (1 + exp(x)) END, 9) AS p, round(exp(1.0 - m) / (exp(1.0 - m) + exp(y - m)), 9) AS first FROM (SELECT doc_id, (n_chars / 1000.0 - 2) / 1.5 AS x, n_chars / 5000.0 AS y, greatest(1.0, n_chars / 5000.0) AS m FROM documents)")
 def _(spark, sf):
-    d = table(spark, sf, "documents").where("n_chars < 100000")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", F.round(S.sigmoid(F.col("n_chars") / 1000.0 - 2, 1.5), 9).alias("p"), F.round(S.softmax(F.array(F.lit(1.0), F.col("n_chars") / 5000.0))[0], 9).alias("first"))
 
 

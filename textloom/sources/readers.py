@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.graph import written
 
 # --- Fixed values ---
 PDF_MIN_CHARS, PDF_CHARS_PER_PAGE, PDF_MAX_PAGES, PDF_LETTERS = 200, 20, 250, 0.35
@@ -52,12 +53,20 @@ def read_articles(spark: SparkSession, path: str, sep: str | None = None, text_c
         df = read_strings(spark, path, sep or sniff_separator(spark, path)).drop("source_file")
     text = T.first_existing(df.columns, text_column, ARTICLE_ALIASES["text"], required=True)
     key = T.first_existing(df.columns, id_column, ARTICLE_ALIASES["id"])
-    rows = df if key else df.withColumn("_n", F.monotonically_increasing_id())
+    rows = df if key else with_row_numbers(df)
     number = F.col(key).cast("string") if key else F.concat(F.lit("row-"), F.col("_n"))
     meta = [x for c in METADATA if c in df.columns for x in (F.lit(c), F.col(c).cast("string"))]
     return rows.where(F.trim(F.coalesce(text, F.lit(""))) != "").select(number.alias("article_id"), F.col(text).alias("text"), (F.create_map(*meta) if meta else F.create_map().cast("map<string,string>")).alias("metadata"))
 
 
+def with_row_numbers(df: DataFrame) -> DataFrame:
+    """Adds ``_n``: the row's number from 0 in the order in which the files are read. Partitions are counted first; one number a partition comes together."""
+    placed = written(df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_id").alias("_low"))
+    before = sizes.select("_part", "_low", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # one row a partition
+    return placed.join(F.broadcast(before), "_part").withColumn("_n", F.col("_before") + F.col("_id") - F.col("_low")).drop("_part", "_id", "_low", "_before")
+
+
 def inline_article(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([("article-0", text)], "article_id string, text string")
 
