@@ -198,6 +198,13 @@ def statistics(store: DataFrame, now, due_days: int = 30) -> DataFrame:
     return a.crossJoin(shared).withColumn("vector_bytes", F.col("chunks") * EMBEDDING_BYTES)  # one row each
 
 
+def source_statistics(store: DataFrame) -> DataFrame:
+    """Documents, chunks and distinct contents of each source."""
+    docs = store.groupBy("source_id", "document_id").agg(F.count("*").alias("chunks"), F.min("content_hash").alias("content_hash"))
+    by_content = docs.groupBy("source_id", "content_hash").agg(F.count("*").alias("documents"), F.sum("chunks").alias("chunks"))
+    return by_content.groupBy("source_id").agg(F.sum("documents").alias("documents"), F.sum("chunks").alias("chunks"), F.count("*").alias("contents"))
+
+
 def due(rows: DataFrame, now, column: str = "refresh_after", statuses: list[str] | None = None) -> DataFrame:
     out = rows.where(F.col(column) <= F.lit(now))
     return out.where(F.col("status").isin(statuses)) if statuses else out

@@ -41,6 +41,22 @@ def overall(matrix: DataFrame) -> DataFrame:
     return hit.crossJoin(each)  # one row each
 
 
+def binary_bundle(rows: DataFrame, score: str = "p", truth: str = "truth", threshold: float = 0.5, confidence: float = 0.95) -> DataFrame:
+    """One row for each of the two classes: label, support, predicted_support, tp, precision, recall, f1 and both Wilson bounds, beside the values of the whole: accuracy, macro_f1, balanced_accuracy, roc_auc, average_precision."""
+    kept = written(rows.select(F.col(truth).cast("int").alias("truth"), F.col(score).cast("double").alias("p")))
+    t, p = F.col("truth"), (F.col("p") >= threshold).cast("int")
+    each = [F.struct(F.lit(x).alias("label"), F.count_if(t == x).alias("support"), F.count_if(p == x).alias("predicted_support"), F.count_if((t == x) & (p == x)).alias("tp")) for x in (0, 1)]
+    tp, n, m = F.col("tp"), F.col("support"), F.col("predicted_support")
+    classes = kept.agg(F.array(*each).alias("c")).select(F.inline("c")).withColumn("precision", S.ratio(tp, m)).withColumn("recall", S.ratio(tp, n)).withColumn("f1", S.ratio(2 * tp, n + m))
+    classes = classes.withColumn("precision_lower", S.wilson_lower(tp, m, confidence)).withColumn("recall_lower", S.wilson_lower(tp, n, confidence))
+    whole = classes.agg(S.ratio(F.sum("tp"), F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"), F.coalesce(F.avg(F.when(n > 0, F.col("recall"))), F.lit(0.0)).alias("balanced_accuracy"))
+    areas = by_score(kept, [], "p", t == 1)
+    wins = F.sum(F.col("neg").cast("double") * (F.col("cum_pos") - F.col("pos")) + F.col("pos") * F.col("neg") / 2.0)
+    step = F.col("pos") / F.col("pos_all") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    areas = areas.agg(F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), wins / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"), F.when(F.sum("pos") > 0, F.sum(F.when(F.col("pos") > 0, step))).alias("average_precision"))
+    return classes.crossJoin(whole).crossJoin(areas)  # one row each
+
+
 def decision(rows: DataFrame, truth: str = "truth", selected: str = "selected", confidence: float = 0.95) -> DataFrame:
     """tp, fp, fn, coverage, precision, recall and Wilson bounds of a selection."""
     t, s = F.col(truth) == 1, F.col(selected)

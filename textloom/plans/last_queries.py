@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import articles, corpus, dataprep, evidence, metrics, pages
 from ..operators.graph import written
-from .more_queries import Q_BOUND, Q_CITE, Q_CLASS, Q_NEAR, Q_POINTS, Q_STEPS, citations, corpus_points, neighbours, predicted, q_bootstrap
+from .more_queries import Q_BOUND, Q_CITE, Q_NEAR, Q_POINTS, bundle, citations, corpus_points, neighbours, q_bootstrap, q_bundle
 from .queries import _Q_BUILT, Q_PROBABLE, Q_RECORDS, Q_SENTENCES, _q_url, _stamp, probable, q_collapse, q_cut, q_lit, q_prob, q_wilson, query, records, sentence_rows, table
 
 
@@ -115,12 +115,11 @@ def _(spark, sf):
     return g.groupBy("lang").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("tree"))
 
 
-@query("a33_development_bundle", f"WITH {Q_CLASS}, {Q_STEPS} SELECT round((SELECT avg(f1) FROM pc), 9) AS bias_macro_f1, round((SELECT sum(pos / allp::double * cp / cn::double) FROM c), 9) AS bias_ap, round((SELECT avg((toxic = (p_style >= 0.5)::int)::int) FROM prob), 9) AS style_accuracy")
+@query("a33_development_bundle", f"WITH {Q_PROBABLE} SELECT 'bias' AS head, * FROM {q_bundle('truth', 'p')} UNION ALL SELECT 'style', * FROM {q_bundle('toxic', 'p_style')}")
 def _(spark, sf):
-    rows = predicted(spark, sf)
-    style = rows.agg(F.avg((F.col("toxic") == (F.col("p_style") >= 0.5).cast("int")).cast("int")).alias("s"))
-    out = metrics.overall(metrics.confusion(rows, [0, 1])).crossJoin(metrics.average_precision(rows)).crossJoin(style)  # one row each
-    return out.select(F.round("macro_f1", 9).alias("bias_macro_f1"), F.round("average_precision", 9).alias("bias_ap"), F.round("s", 9).alias("style_accuracy"))
+    """The metrics of both heads."""
+    rows = written(probable(spark, sf).select("p", "p_style", "truth", "toxic"))
+    return bundle(rows, "p", "truth").withColumn("head", F.lit("bias")).unionByName(bundle(rows, "p_style", "toxic").withColumn("head", F.lit("style")))
 
 
 @query("d05_three_class_gates", f"""WITH {Q_PROBABLE}, bias AS (SELECT truth, p >= 0.8 AS selected FROM prob), ti AS (SELECT doc_id, (doc_id % 3)::int AS truth, CASE WHEN p < 0.5 THEN 0 WHEN p_style < 0.5 THEN 1 ELSE 2 END AS pred FROM prob), {q_bootstrap('ti', 3)},

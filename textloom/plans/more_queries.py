@@ -279,10 +279,27 @@ def _(spark, sf):
     return metrics.confusion(tiers(spark, sf), [0, 1, 2])
 
 
-@query("a12_binary_bundle", f"WITH {Q_CLASS}, {Q_STEPS} SELECT round((SELECT avg((truth = pred)::int) FROM pr), 9) AS accuracy, round((SELECT avg(f1) FROM pc), 9) AS macro_f1, round((SELECT sum(pos / allp::double * cp / cn::double) FROM c), 9) AS average_precision")
+def q_bundle(truth: str, score: str) -> str:
+    """The bundle of a head, from ``prob``."""
+    z = f"(SELECT {truth} AS t, {score} AS s, ({score} >= 0.5)::int AS q FROM prob)"
+    return f"""(WITH z AS {z}, c AS (SELECT k.i::int AS label, count(*) FILTER (t = k.i) AS support, count(*) FILTER (q = k.i) AS predicted_support, count(*) FILTER (t = k.i AND q = k.i) AS tp FROM z, range(2) k(i) GROUP BY ALL),
+d AS (SELECT *, coalesce(tp / nullif(predicted_support, 0)::double, 0) AS precision, coalesce(tp / nullif(support, 0)::double, 0) AS recall, coalesce(2 * tp / nullif(support + predicted_support, 0)::double, 0) AS f1, {q_wilson('tp', 'predicted_support')} AS precision_lower, {q_wilson('tp', 'support')} AS recall_lower FROM c),
+g AS (SELECT s, count(*) FILTER (t = 1) AS pos, count(*) FILTER (t = 0) AS neg FROM z GROUP BY s), r AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS cp, sum(neg) OVER (ORDER BY s DESC) AS cn, sum(pos) OVER () AS allp, sum(neg) OVER () AS alln FROM g)
+SELECT label, support, predicted_support, tp, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, round(precision_lower, 9) AS precision_lower, round(recall_lower, 9) AS recall_lower, round((SELECT sum(tp) / sum(support)::double FROM d), 9) AS accuracy, round((SELECT avg(f1) FROM d), 9) AS macro_f1,
+round((SELECT avg(recall) FILTER (support > 0) FROM d), 9) AS balanced_accuracy, round((SELECT sum(neg * (cp - pos) + pos * neg / 2.0) / (any_value(allp) * any_value(alln))::double FROM r), 9) AS roc_auc, round((SELECT sum(pos / allp::double * cp / (cp + cn)::double) FROM r), 9) AS average_precision FROM d)"""
+
+
+_BUNDLE = ["precision", "recall", "f1", "precision_lower", "recall_lower", "accuracy", "macro_f1", "balanced_accuracy", "roc_auc", "average_precision"]
+
+
+def bundle(rows, score, truth):
+    b = metrics.binary_bundle(rows, score, truth)
+    return b.select("label", "support", "predicted_support", "tp", *[F.round(x, 9).alias(x) for x in _BUNDLE])
+
+
+@query("a12_binary_bundle", f"WITH {Q_PROBABLE} SELECT * FROM {q_bundle('truth', 'p')}")
 def _(spark, sf):
-    rows = predicted(spark, sf)
-    return metrics.overall(metrics.confusion(rows, [0, 1])).crossJoin(metrics.average_precision(rows)).select(*[F.round(x, 9).alias(x) for x in ("accuracy", "macro_f1", "average_precision")])  # one row each
+    return bundle(probable(spark, sf), "p", "truth")
 
 
 @query("a27_masked_mean", "SELECT round(sum(w * x) / sum(w), 9) AS mean FROM (SELECT CASE WHEN quality IS NULL THEN 0 WHEN quality = 1 THEN 0.7 ELSE 1.8 END AS w, n_chars::double AS x FROM documents LEFT JOIN labels USING (doc_id))")
@@ -528,6 +545,11 @@ def _(spark, sf):
     return corpus.statistics(corpus_points(spark, sf), _stamp("2024-02-15"))
 
 
+@query("a20_by_source", f"WITH {Q_POINTS} SELECT source_id, count(DISTINCT document_id) AS documents, count(*) AS chunks, count(DISTINCT content_hash) AS contents FROM point GROUP BY source_id")
+def _(spark, sf):
+    return corpus.source_statistics(corpus_points(spark, sf))
+
+
 @query("j04_manifest_diff", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'removed' WHEN doc_id % 10 = 1 THEN 'added' WHEN doc_id % 10 = 2 THEN 'changed' ELSE 'unchanged' END AS change FROM documents")
 def _(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", "lang")
