@@ -535,13 +535,13 @@ def _(spark, sf):
 _PARTITION = "['train', 'development', 'calibration'][(substr(record_id, 2)::bigint % 3) + 1]"
 
 
-@query("a01_value_counts", f"WITH {Q_RECORDS} SELECT p AS partition, field, value, count(*) AS n FROM (SELECT {_PARTITION} AS p, unnest(['dataset', 'bias_name', 'opinion_name', 'annotation_state']) AS field, unnest([coalesce(nullif(dataset, ''), '<missing>'), coalesce(nullif(bias_name, ''), '<missing>'), coalesce(nullif(opinion_name, ''), '<missing>'), annotation_state]) AS value FROM recs) GROUP BY ALL")
+@query("a01_value_counts", f"WITH {Q_RECORDS} SELECT p AS partition, field, value, count(*) AS n FROM (SELECT {_PARTITION} AS p, unnest(['dataset', 'file', 'annotation_state', 'bias_label']) AS field, unnest([coalesce(nullif(dataset, ''), '<missing>'), coalesce(nullif(file, ''), '<missing>'), coalesce(nullif(annotation_state, ''), '<missing>'), coalesce(bias_label::varchar, '<missing>')]) AS value FROM recs) GROUP BY ALL")
 def _(spark, sf):
-    """Per partition how often each source and label occurs, missing values named."""
+    """Per partition how often each source, state and label occurs, missing values named."""
     part = F.element_at(F.array(F.lit("train"), F.lit("development"), F.lit("calibration")), (F.substring("record_id", 2, 20).cast("bigint") % 3 + 1).cast("int"))
     rows = records(spark, sf).withColumn("partition", part)
-    names = ["dataset", "bias_name", "opinion_name", "annotation_state"]
-    long = rows.select("partition", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("raw")) for c in names])).alias("x")).select("partition", "x.*")
+    names = ["dataset", "file", "annotation_state", "bias_label"]
+    long = rows.select("partition", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("raw")) for c in names])).alias("x")).select("partition", "x.*")
     return dataprep.value_counts(long, ["partition", "field"], "raw")
 
 
