@@ -705,3 +705,22 @@ def test_query_is_its_sql(spark, data, name):
     rows = registry.QUERIES[name](spark, data)
     assert sorted(rows.columns) == sorted(want.columns)
     assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in rows.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    """Odd rows go through all stages, each by its own rule; stages keep the columns; empty tables stay empty."""
+    items = spark.createDataFrame([(1, "this passage of exactly ten words is in the benchmark")], "item_id long, text string")
+    more = [(20, "Now: THIS passage of exactly ten words is in the benchmark!", "en"), (21, "token = aZ3kQ9xW7bT1mN5 and then some", "en"), (22, None, None)]
+    for name, docs, tests in (("odd", odd(spark, ODD + more), items), ("none", odd(spark).limit(0), items), ("untested", odd(spark, more), items.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        tests.write.parquet(f"{folder}/benchmark.parquet")
+        table = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, table, folder)
+            assert after.columns == table.columns and [f.dataType for f in after.schema] == [f.dataType for f in table.schema]
+        ids = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()}
+        assert not ids & {1, 2, 3, 22}  # without letters
+        assert name != "none" or not ids
+        assert name != "odd" or (7 in ids and 20 not in ids and len(ids & {4, 5, 6}) <= 1)
+        assert name != "untested" or ids <= {20, 21}
