@@ -19,6 +19,20 @@ THREE_CLASS_TARGETS = {"bias_precision_lcb": 0.90, "article_report_precision_lcb
 POISSON = [24109, 48218, 60273, 64291, 65296, 65497, 65531]
 
 
+def guard(rows: DataFrame, labels: list[int], *, truth: str = "truth", pred: str | None = None, score: str | None = None) -> DataFrame:
+    """The rows, if their labels are known and their scores finite and within 0 and 1; else an error that counts what isn't. One pass."""
+    if len(set(labels)) != len(labels):
+        raise ValueError("labels must be unique")
+    bad = {f"{c} not among {labels}": ~F.coalesce(F.col(c).isin(labels), F.lit(False)) for c in (truth, pred) if c}
+    if score:
+        bad[f"{score} not between 0 and 1"] = ~F.coalesce((F.col(score) >= 0) & (F.col(score) <= 1) & ~F.isnan(F.col(score).cast("double")), F.lit(False))
+    found = rows.agg(*[F.count_if(c).alias(str(i)) for i, c in enumerate(bad.values())]).first()
+    wrong = [f"{name}: {n} rows" for name, n in zip(bad, found, strict=True) if n]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return rows
+
+
 def confusion(rows: DataFrame, labels: list[int], truth: str = "truth", pred: str = "pred") -> DataFrame:
     """One row per (truth, pred) of the known labels, zeros included."""
     spine = rows.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], "truth int, pred int")
