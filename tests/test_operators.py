@@ -227,12 +227,35 @@ def test_policy():
     assert [head.state(p) for p in (0.2, 0.5, 0.8)] == ["clear_non_bias", "possible_bias", "clear_bias"]
     with pytest.raises(ValueError):
         policy.Head(policy.Region(True, 0.8), policy.Region(True, 0.2))
-    assert policy.selection_mode("auto", True) == "calibrated" and policy.selection_mode("auto", False) == "legacy"
-    with pytest.raises(ValueError):
-        policy.selection_mode("auto", False, strict=True)
     assert policy.next_state("pending_locked_test", gates_failed=[]) == "eligible" and policy.next_state("eligible", gates_failed=["x"]) == "eligible"
     assert policy.retrieval_failures(0.8, 0.3, 0.8, 10) == [] and len(policy.retrieval_failures(0, None, 0, 11)) == 4
-    assert policy.retry_after("1,15000", "0,100", "1,1000", 0) == 1.0 and policy.retry_after("1", "5", "1", 0) is None
+
+
+STRICT, LEGACY = {"schema_version": "calibration/v3"}, {"schema_version": 2, "heads": {"bias": {"threshold": 0.7, "temperature": 1.5}, "opinion": {"enabled": False, "threshold": 0.4, "disabled_reason": "few"}}, "label_mappings": {"bias_label2id": {"a": 0}}}
+
+
+def test_selection_never_falls_back():
+    resolve = policy.resolve_selection
+    assert resolve("argmax", None).effective == "argmax" and resolve("argmax", None).compatible
+    for mode in ("auto", "calibrated"):
+        got = resolve(mode, STRICT, disagreements=[])
+        assert (got.effective, got.reason, got.compatible) == ("calibrated", "manifest_bound_calibration_loaded", False)
+        for bad in ({"calibration": None}, {"calibration": LEGACY, "disagreements": []}, {"calibration": STRICT}, {"calibration": STRICT, "disagreements": ["head type"]}, {"calibration": STRICT, "disagreements": [], "overrides": {"bias": 0.5}}):
+            with pytest.raises(ValueError):
+                resolve(mode, **bad)
+    for bad in (("odd", STRICT, {}), ("legacy", None, {}), ("legacy", {"schema_version": 9}, {}), ("argmax", None, {"overrides": {"bias": 0.5}}), ("legacy", LEGACY, {"labels": {"bias": {"a": 1}}}), ("legacy", LEGACY, {"head_type": "other"}), ("legacy", LEGACY, {"overrides": {"bias": 1.5}})):
+        with pytest.raises(ValueError):
+            resolve(bad[0], bad[1], **bad[2])
+
+
+def test_legacy_gates():
+    got = policy.resolve_selection("legacy", LEGACY, labels={"bias": {"a": 0}, "opinion": {"b": 0}}).gates
+    assert got["bias"] == policy.HeadGate(0.7, 1.5) and got["opinion"].reason == "few" and got["report_trigger"].reason == "missing_calibration_head" and not got["report_trigger"].enabled
+    got = policy.resolve_selection("legacy", LEGACY, overrides={"opinion": 0.3, "report_trigger": 0.9}).gates
+    assert got["opinion"] == policy.HeadGate(0.3) and got["report_trigger"] == policy.HeadGate(0.9)
+    assert policy.head_gate({"enabled": True}).reason == "missing_threshold"
+    with pytest.raises(ValueError):
+        policy.head_gate({"threshold": 0.5, "temperature": 0})
 
 
 def test_reconcile_and_diff(spark):

@@ -79,7 +79,11 @@ def _(spark, sf):
     return p.select("document_id", "chunk_id", "chunk_index", "start_word", "end_word", "content_hash", "source_domain", F.date_format("retention_until", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("retention_until"))
 
 
-@query("t19_point_ids")
+_Q_NAMESPACE = "".join(f"\\x{b:02X}" for b in corpus.POINT_NAMESPACE.bytes)
+_Q_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex((('0x' || substr(h, 17, 1))::int & 3) | 8)) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query("t19_point_ids", f"WITH {Q_POINTS} SELECT chunk_id, {_Q_UUID} AS point_id FROM (SELECT chunk_id, sha1('{_Q_NAMESPACE}'::blob || encode(chunk_id)) AS h FROM point)")
 def _(spark, sf):
     return corpus_points(spark, sf).select("chunk_id", "point_id")
 
