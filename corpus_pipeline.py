@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import decontaminate, language_id, ngram_join, packing, secret_scan
-from textloom.llm.common import checkpoint_dir, read_table
+from textloom.llm.common import checkpoint_dir, read_table, small_batches
 from textloom.session import ship
 
 #: Near copies share at least NEAR_NUM / NEAR_DEN of their shingles of NEAR_WORDS words.
@@ -40,12 +40,16 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.packed(docs)
 
 
+def _sized(stage):
+    return lambda spark, docs, sf_dir: stage(small_batches(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("ngram_jaccard_join", drop_near_copies),
-    ("benchmark_decontamination", drop_contaminated),
-    ("secret_scan", mask_secrets),
-    ("best_fit_packing", pack_sequences),
+    ("language_id", _sized(identify_language)),
+    ("ngram_jaccard_join", _sized(drop_near_copies)),
+    ("benchmark_decontamination", _sized(drop_contaminated)),
+    ("secret_scan", _sized(mask_secrets)),
+    ("best_fit_packing", _sized(pack_sequences)),
 ]
 
 

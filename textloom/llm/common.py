@@ -19,6 +19,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: with Spark's 10,000, batches of long texts take hundreds of MB in the JVM and again in Python.
+BATCH_ROWS = 1_000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session with batches of ``BATCH_ROWS``, unless it states a number of its own."""
+    if spark.conf.get(_BATCH_KEY) == "10000":
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    return spark
+
+
 def byte_table(keep) -> bytes:
     """A table for ``bytes.translate``: A-Z lower-cased, bytes for which ``keep`` is false turned into blanks. UTF-8 continuation and lead bytes go through ``keep`` like the rest."""
     out = bytearray(256)

@@ -38,7 +38,7 @@ from .token_counts import tokenizer
 
 VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k.json", 2, 1024
 BLOCK = 1 << 16
-MEMO = 800_000
+MEMO = 300_000
 CHUNK = 1 << 20
 
 #: White space whose split isn't plain (three or more, or two at the end), and characters on which classes may differ.

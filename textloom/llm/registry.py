@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import decontaminate, language_id, license_scan, nearest, ngram_join, packing, pii, secret_scan, sharding, token_counts
-from .common import read_table
+from .common import read_table, small_batches
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -47,4 +47,11 @@ def op2_ngram_join(spark, sf_dir):
     return ngram_join.classes(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_ngram_join": op2_ngram_join, "op4_nearest": op4_nearest, "op3_packing": op3_packing, "op5_token_counts": op5_token_counts, "op7_license_scan": op7_license_scan, "op1_pii": op1_pii, "op9_secret_scan": op9_secret_scan, "op8_language_id": op8_language_id, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
+_OWN = {"op2_ngram_join": op2_ngram_join, "op4_nearest": op4_nearest, "op3_packing": op3_packing, "op5_token_counts": op5_token_counts, "op7_license_scan": op7_license_scan, "op1_pii": op1_pii, "op9_secret_scan": op9_secret_scan, "op8_language_id": op8_language_id, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
+
+
+def _sized(query):
+    return lambda spark, sf_dir: query(small_batches(spark), sf_dir)
+
+
+QUERIES = {name: _sized(query) for name, query in _OWN.items()}
