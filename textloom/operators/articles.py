@@ -32,9 +32,9 @@ def article_score(rows: DataFrame, keys: list[str], signal_col: str = "signal")
     """Score 0 to 100 per key: half the mean, half the mean of the strongest 15 % (one at least)."""
     by = Window.partitionBy(*keys).orderBy(F.col(signal_col).desc())
     n = F.count("*").over(Window.partitionBy(*keys))
-    ranked = rows.withColumn("rank", F.row_number().over(by)).withColumn("peaks", F.greatest(F.lit(1), F.bround(n * F.lit(S.PEAK_FRACTION)).cast("int")))
+    ranked = rows.withColumn("rank", F.row_number().over(by)).withColumn("peaks", F.greatest(F.lit(1), S.round_even(n * F.lit(S.PEAK_FRACTION)).cast("int")))
     mean, peak = F.avg(signal_col), F.avg(F.when(F.col("rank") <= F.col("peaks"), F.col(signal_col)))
-    return ranked.groupBy(*keys).agg(F.bround(S.clamp((mean * S.COVERAGE_WEIGHT + peak * S.PEAK_WEIGHT) * 100, 0.0, 100.0), 1).alias("score"), F.count("*").alias("n"))
+    return ranked.groupBy(*keys).agg(S.round_even(S.clamp((mean * S.COVERAGE_WEIGHT + peak * S.PEAK_WEIGHT) * 100, 0.0, 100.0), 1).alias("score"), F.count("*").alias("n"))
 
 
 def article_levels(docs: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def mock_selection(rows: DataFrame) -> DataFrame:
     """The analyser without a model: every fourth sentence of over 30 characters; score by their share."""
     picked = (F.col("pos") % 4 == 1) & (F.char_length("sentence") > 30)
     n, s = F.count("*"), F.count_if(picked)
-    return rows.groupBy("doc_id").agg(n.alias("sentence_count"), s.alias("selected_count"), F.bround(F.least(F.lit(100.0), s / n * 220), 1).alias("score"))
+    return rows.groupBy("doc_id").agg(n.alias("sentence_count"), s.alias("selected_count"), S.round_even(F.least(F.lit(100.0), s / n * 220), 1).alias("score"))
 
 
 def report_text(sentence_array: Column, limit: int = 12, width: int = 200) -> Column:
