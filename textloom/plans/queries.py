@@ -122,7 +122,7 @@ def _(spark, sf):
 
 @query("s09_html_title", r"""SELECT page_id, nullif(replace(replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '') AS title FROM pages""")
 def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", pages.parse_html(F.col("html"))["title"].alias("title"))
+    return table(spark, sf, "pages").select("page_id", pages.escaped_title(F.col("html")).alias("title"))
 
 
 @query("s09_html_document")
