@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import decontaminate, language_id, ngram_join, packing, secret_scan
 from textloom.llm.common import checkpoint_dir, read_table, small_batches
+from textloom.operators.graph import write
 from textloom.session import ship
 
 #: Near copies share at least NEAR_NUM / NEAR_DEN of their shingles of NEAR_WORDS words.
@@ -62,7 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        out.write.parquet(f"{base}/{k}_{name}")
+        write(out, f"{base}/{k}_{name}")
         docs = spark.read.parquet(f"{base}/{k}_{name}")
     raise AssertionError("no stage")
 
