@@ -207,6 +207,15 @@ def test_join_hot_group_makes_few_products(spark):
     assert {r["component_id"] for r in out.collect()} == {0}
 
 
+def test_packing_remembers_as_much_as_it_is_told(spark):
+    """op3 and the pipeline, whose workers hold other tables too, had one bound."""
+    path = public_tokenizers.path(packing.VOCABULARY)
+    assert packing.encoder(path).units.limit == packing.MEMO // 2 > packing.encoder(path, packing.SMALL_MEMO).units.limit
+    docs = odd(spark)
+    crcs = lambda df: sorted((r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
+    assert crcs(packing.packed(docs, memo=4)) == crcs(packing.packed(docs))
+
+
 @pytest.fixture
 def many_ids(spark, monkeypatch):
     """As on tables with more ids than are broadcast."""

@@ -38,7 +38,8 @@ from .token_counts import tokenizer
 
 VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k.json", 2, 1024
 BLOCK = 1 << 16
-MEMO = 300_000
+#: Units that a worker remembers; the pipeline's workers, which hold other stages' tables too, remember fewer.
+MEMO, SMALL_MEMO = 800_000, 300_000
 CHUNK = 1 << 20
 
 #: White space whose split isn't plain (three or more, or two at the end), and characters on which classes may differ.
@@ -102,14 +103,14 @@ class Encoder:
         return b"".join(map(get, units))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        own = _encoders[path] = Encoder(path)
+def encoder(path: str, memo: int = MEMO) -> Encoder:
+    if (path, memo) not in _encoders:
+        own = _encoders[path, memo] = Encoder(path, memo)
         own.units[""] = b""
-    return _encoders[path]
+    return _encoders[path, memo]
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -123,13 +124,13 @@ _TYPES = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
 _DDL = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, and with ``with_ids`` the ids (32-bit little-endian)."""
     end = struct.pack("<I", end_id)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
 
     def run(batches):
-        own = encoder(vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary))
+        own = encoder(vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary), memo)
         for batch in batches:
             rows, cols, ids = [], [[] for _ in _TYPES], []
             for r, x in enumerate(batch.column(1)):
