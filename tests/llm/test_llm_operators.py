@@ -216,6 +216,15 @@ def test_packing_remembers_as_much_as_it_is_told(spark):
     assert crcs(packing.packed(docs, memo=4)) == crcs(packing.packed(docs))
 
 
+def test_plain_units_split_as_by_the_pattern():
+    """op5: a unit of ASCII letters with punctuation behind it skips the general pattern."""
+    units = ["Word", "word.", "it's", "dogs'", "don't!", "a<|", "<|x", "a|", "x<", "a1.", "a.b", "Kelvin\u212a", "...", "", "a\\]", "a[^_`", "\u00e9t\u00e9,"]
+    for u in units:
+        want = (u,) if token_counts._UNSAFE.search(u) or "<|" in u else tuple(token_counts._PRETOKEN.findall(u.lower()))
+        assert token_counts.Counts._split(u) == want
+    assert token_counts._PLAIN.fullmatch("word.") and not token_counts._PLAIN.fullmatch("a<|")
+
+
 @pytest.fixture
 def many_ids(spark, monkeypatch):
     """As on tables with more ids than are broadcast."""

@@ -54,6 +54,9 @@ _BLANK = re.compile("[\t\n\r ]+")
 #: The pre-tokenizer's pattern, as the vocabulary file states it.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+#: Units whose pre-tokens are plain: ASCII letters, and what punctuation clings to them. "<|" goes to the tokenizer.
+_PLAIN = re.compile("([A-Za-z]+)([!-/:;=>?@\\[\\\\\\]^_`{}~]*)")
+
 _tokenizers: dict[str, object] = {}
 
 
@@ -79,6 +82,8 @@ class Counts:
 
     @staticmethod
     def _split(unit: str) -> tuple[str, ...]:
+        if m := _PLAIN.fullmatch(unit):
+            return (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
         return (unit,) if _UNSAFE.search(unit) or "<|" in unit else tuple(_PRETOKEN.findall(unit.lower()))
 
     @staticmethod
@@ -169,7 +174,7 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
         def of(unit):
             """Pieces of a unit's common pre-tokens, and its rare ones."""
             total, rare = 0, []
-            for p in own.pretokens[unit]:
+            for p in own._split(unit):
                 if (n := known.get(p)) is None:
                     rare.append(p)
                 else:
